@@ -12,6 +12,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftgraph.llm import quality
+
+    scored = quality.score(table(spark, sf_dir, "documents"))
+    votes = [f"vote_{r.name}" for r in quality.RULES]
+    return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("quality", 6).alias("quality"), *votes)
+
+
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftgraph.llm import licenses
+
+    joined = {c: F.array_join(c, ",").alias(c) for c in ("base_labels", "labels")}
+    return licenses.licenses(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_base", "first_word", "last_word", *joined.values(), F.round("score", 6).alias("score"), F.size("detections").cast("long").alias("n_detections"))
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftgraph.llm import packing
+
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftgraph.llm import simhash
 
@@ -19,6 +40,19 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftgraph.llm import sharding
+
+    placed = sharding.shards(table(spark, sf_dir, "documents"), 16)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "n_tokens")
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftgraph.llm import mixing
+
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
