@@ -20,6 +20,30 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("quality", 6).alias("quality"), *votes)
 
 
+def op2_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four commits over all documents: both tokenizers' counts, copies deleted, words recounted as a second version; each tried twice."""
+    import uuid
+
+    from weftgraph.llm import common, tokens
+
+    docs = table(spark, sf_dir, "documents")
+    text = common.whole("text")
+    counts = common.saved(tokens.counted(docs, copy=F.xxhash64(text), words=common.n_words(F.col("text"))))
+    words = counts.drop("n_tokens").withColumnRenamed("words", "n_tokens").withColumn("tokenizer", F.lit("words-1"))
+    firsts = counts.groupBy("copy").agg(F.min("doc_id").alias("first"))
+    copies = counts.join(firsts, "copy").where("doc_id <> first").select(counts["*"])
+    rollup = tokens.Rollup(spark, f"{common.shared_dir(spark)}/rollup-{uuid.uuid4()}")
+    for batch, delta in {
+        "1-bpe": tokens.signed(counts, 1),
+        "2-words": tokens.signed(words, 1),
+        "3-copies": tokens.signed(copies, -1),
+        "4-recount": tokens.revised(words, words.withColumn("tokenizer", F.lit("words-2"))),
+    }.items():
+        rollup.commit(batch, delta)
+        rollup.commit(batch, delta)
+    return rollup.totals()
+
+
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftgraph.llm import licenses
 
