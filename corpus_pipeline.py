@@ -1,12 +1,34 @@
-"""The corpus pipeline; its stages follow."""
+"""The corpus pipeline: quality rules, near-dedup, personal data, mixing to target weights, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and
+read again as the next one's docs; all but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from weftgraph.llm import common, stages
+
+STAGES = [
+    ("quality_rules", stages.rules),
+    ("near_dedup", stages.near_dedup),
+    ("personal_data", stages.personal_data),
+    ("mix_sources", stages.mix_sources),
+    ("packing", stages.pack),
+]
+
+#: The rules' EM, SimHash bits and the random rounding have no SQL form; tests compare with a brute-force run.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """Apply the stages to documents."""
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents. What lies between them is kept in the folder all executors share."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    folder = f"{common.shared_dir(spark)}/pipeline-{uuid.uuid4()}"
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
