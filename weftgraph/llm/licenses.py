@@ -45,9 +45,9 @@ LICENSES = (
     ("mit-0", r"mit no attribution(?: license)?", "mit 0"),
     ("x11", r"x11 license|mit x11", "x11"),
     ("isc", r"isc license|internet systems consortium license", "isc"),
-    ("bsd-2-clause", r"(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)(?: license)?", "bsd 2 clause"),
-    ("bsd-3-clause", r"(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd)(?: license)?", "bsd 3 clause"),
-    ("bsd-4-clause", r"(?:bsd 4 clause|4 clause bsd|original bsd)(?: license)?", "bsd 4 clause"),
+    ("bsd-2-clause", r"bsd 2 clause(?: license)?|2 clause bsd(?: license)?|simplified bsd(?: license)?|freebsd(?: license)?", "bsd 2 clause"),
+    ("bsd-3-clause", r"bsd 3 clause(?: license)?|3 clause bsd(?: license)?|new bsd(?: license)?|modified bsd(?: license)?|revised bsd(?: license)?", "bsd 3 clause"),
+    ("bsd-4-clause", r"bsd 4 clause(?: license)?|4 clause bsd(?: license)?|original bsd(?: license)?", "bsd 4 clause"),
     ("0bsd", r"zero clause bsd(?: license)?", "0bsd"),
     ("bsd", r"bsd (?:style )?license", "bsd"),
     ("mpl-1.1", r"mozilla public license (?:version |v )?1 1", "mpl 1 1"),
@@ -105,7 +105,7 @@ LICENSES = (
     ("nasa", r"nasa open source agreement", "nasa 1 3"),
     ("lppl", r"latex project public license", "lppl 1 3c"),
     ("fsl", r"functional source license", "fsl 1 1 mit"),
-    ("openrail", r"(?:open ?rail|responsible ai) license", "openrail"),
+    ("openrail", r"open ?rail license|responsible ai license", "openrail"),
     ("llama", r"llama \d+ community license", "llama"),
     ("cc0", r"cc0(?: 1 0(?: universal)?)?|creative commons zero", "cc0 1 0"),
     ("cc-by-nc-nd", r"cc by nc nd(?: \d 0)?|creative commons attribution non ?commercial no ?deriv(?:ative)?s", "cc by nc nd 4 0"),
