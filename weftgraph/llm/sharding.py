@@ -2,8 +2,8 @@
 
 Groups of equal texts are not packed one by one. All groups but the heavy ones fall by their hash
 into a fixed number of items; a group with over 1 / (8 * shards) of all bytes, tokens or rows - of
-which there can be at most 24 * shards - is an item of its own, in as many pieces as its share
-asks for. So the greedy packing, which must look at one item after another, sees a list whose
+which there can be at most 24 * shards - is an item of its own, and one with over half a shard is split
+into pieces of at most that eighth. So the greedy packing, which must look at one item after another, sees a list whose
 length is bounded whatever the corpus. It places each item, largest first, where the dot product
 of its vector with the shard's residual capacity is highest.
 """
@@ -36,7 +36,7 @@ def pack(vectors: np.ndarray, shards: int) -> np.ndarray:
 def shards(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id", text_col: str = "text", items: int = ITEMS) -> DataFrame:
     """A row for each document: id, size (bytes + 1), n_tokens, text_crc32, shard, slot.
 
-    Equal texts share a shard unless their group is heavy; its pieces may then go apart. Slots run
+    Equal texts share a shard unless their group would fill over half of one; its pieces may go apart. Slots run
     from 0 without gaps in each shard. Null texts count as empty ones and group with them. Rows
     that repeat are members of the same group. An empty table gives no rows. Other columns are
     not read.
@@ -48,7 +48,7 @@ def shards(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id", text_col
     all_ = rows.agg(*sums).first()
     part = 8 * n_shards
     share = F.greatest(*(F.col(c) * F.lit(part / all_[c]) if all_[c] else F.lit(0.0) for c in "btr"))
-    heavy = sorted((r["g"], math.ceil(r["share"])) for r in rows.groupBy("g").agg(*sums).withColumn("share", share).where("share > 1").select("g", "share").collect())
+    heavy = sorted((r["g"], math.ceil(r["share"]) if r["share"] > 4 else 1) for r in rows.groupBy("g").agg(*sums).withColumn("share", share).where("share > 1").select("g", "share").collect())
     first = np.cumsum([items] + [n for _, n in heavy]).tolist()
     own = spark.createDataFrame([(g, n, f) for (g, n), f in zip(heavy, first)], "g long, pieces int, first int")
     rows = rows.join(F.broadcast(own), "g", "left").withColumn("item", F.when(F.col("pieces").isNull(), F.pmod("g", F.lit(items))).otherwise(F.col("first") + F.pmod(F.xxhash64("g", "id"), F.col("pieces"))).cast("int"))
