@@ -139,7 +139,7 @@ def entries(query: Column) -> Column:
     """Quoted strings if there are any; else paths and named things, each once, in order; else the query itself."""
     quoted = F.regexp_extract_all(query, F.lit(QUOTED), F.lit(1))
     found = F.concat(F.regexp_extract_all(query, F.lit(SLASHED), F.lit(0)), F.regexp_extract_all(query, F.lit(NAMED), F.lit(0)))
-    found = F.array_distinct(F.filter(F.transform(found, F.trim), lambda x: x != ""))
+    found = F.array_distinct(F.filter(F.transform(found, lambda x: F.trim(x)), lambda x: x != ""))
     return F.when(F.size(quoted) > 0, quoted).when(F.size(found) > 0, found).otherwise(F.array(query))
 
 

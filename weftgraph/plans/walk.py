@@ -22,19 +22,20 @@ def walk(graph: DataFrame, entries: DataFrame, query: str, intention: str, max_d
     edges = t.labelled(t.edges(graph).select("s", "p", "o", "o_kind").distinct(), graph, "o", "to_label")
     edges = edges.withColumn("text", F.when(F.col("o_kind") == "literal", F.col("o")).otherwise(F.col("to_label"))).drop("to_label")
     state = entries.select(F.col("uri").alias("entry_node"), F.col("label").alias("entry_label"), F.col("uri").alias("at"), F.col("label").alias("from_text"), F.array("uri").alias("visited"), F.array().cast(f"array<{STEP}>").alias("path"), F.lit(True).alias("open"))
+    order = Window.partitionBy("entry_node").orderBy(F.desc_nulls_last("score"), "o", "p")
     for _ in range(max_depth):
-        ahead = state.where("open").select("entry_node", "at", "from_text", "visited").join(edges, F.col("at") == F.col("s"))
-        ahead = ahead.withColumn("on_path", (F.col("o_kind") == "uri") & F.array_contains("visited", F.col("o")))
-        order = Window.partitionBy("entry_node").orderBy(F.desc("score"), "o", "p")
-        best = scorer(ahead, query, intention).withColumn("n", F.row_number().over(order)).where((F.col("n") == 1) & (F.col("score") >= min_score))
+        # a walker's state rides on the rows of its edges, so the plan grows by one join a step
+        ahead = state.join(edges, F.col("open") & (F.col("at") == F.col("s")), "left")
+        ahead = ahead.withColumn("on_path", F.coalesce((F.col("o_kind") == "uri") & F.array_contains("visited", F.col("o")), F.lit(False)))
+        scored = scorer(ahead, query, intention).withColumn("score", F.when(F.col("s").isNotNull(), F.col("score")))
+        best = scored.withColumn("n", F.row_number().over(order)).where("n = 1").withColumn("goes", F.coalesce(F.col("score") >= min_score, F.lit(False)))
         step = F.struct(F.col("at").alias("from"), F.col("from_text").alias("from_label"), text.local_name(F.col("p")).alias("predicate"), F.col("p").alias("predicate_uri"), F.col("o").alias("to"), F.col("text").alias("to_label"), "score")
-        best = best.select("entry_node", step.alias("step"), ((F.col("o_kind") == "uri") & ~F.col("on_path")).alias("goes_on"))
-        state = state.join(best, "entry_node", "left").select(
-            "entry_node", "entry_label",
-            F.coalesce("step.to", "at").alias("at"), F.coalesce("step.to_label", "from_text").alias("from_text"),
-            F.when(F.col("goes_on"), F.concat("visited", F.array("step.to"))).otherwise(F.col("visited")).alias("visited"),
-            F.when(F.col("step").isNotNull(), F.concat("path", F.array("step"))).otherwise(F.col("path")).alias("path"),
-            F.coalesce("goes_on", F.lit(False)).alias("open"),
+        further = F.col("goes") & (F.col("o_kind") == "uri") & ~F.col("on_path")
+        then = lambda new, old: F.when(F.col("goes"), new).otherwise(old)
+        state = best.select(
+            "entry_node", "entry_label", then(F.col("o"), F.col("at")).alias("at"), then(F.col("text"), F.col("from_text")).alias("from_text"),
+            F.when(further, F.concat("visited", F.array("o"))).otherwise(F.col("visited")).alias("visited"),
+            then(F.concat("path", F.array(step)), F.col("path")).alias("path"), further.alias("open"),
         )
     return state.select("entry_node", "entry_label", "path")
 

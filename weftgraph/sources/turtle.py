@@ -11,7 +11,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph import vocab
@@ -130,10 +130,11 @@ def read(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     return spark.read.text(path, wholetext=True).mapInPandas(run, vocab.TRIPLES).dropDuplicates()
 
 
-def _term(value, kind, datatype, lang):
-    quoted = F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(value, r"\\", r"\\\\\\\\"), '"', r'\\\\"'), "\n", r"\\\\n"), "\r", r"\\\\r"), F.lit('"'))
+def _term(value: Column, kind: Column, datatype: Column, lang: Column) -> Column:
+    for plain, escaped in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r")):
+        body = F.replace(value if plain == "\\" else body, F.lit(plain), F.lit(escaped))
     tail = F.when(lang.isNotNull(), F.concat(F.lit("@"), lang)).when(datatype.isNotNull(), F.concat(F.lit("^^<"), datatype, F.lit(">"))).otherwise("")
-    return F.when(kind == "uri", F.concat(F.lit("<"), value, F.lit(">"))).otherwise(F.concat(quoted, tail))
+    return F.when(kind == "uri", F.concat(F.lit("<"), value, F.lit(">"))).otherwise(F.concat(F.lit('"'), body, F.lit('"'), tail))
 
 
 def lines(graph: DataFrame) -> DataFrame:
