@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,6 +52,18 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def freed(spark: SparkSession) -> None:
+    """Let the shuffle files go now of plans that nothing refers to any more.
+
+    Spark drops them when the driver happens to collect its garbage, which on a large heap may be
+    long after; an operator of several passes would hold those of all of them till then.
+    """
+    for _ in range(2):  # what the first collection lets go of holds what the second does
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
+
+
 def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
 

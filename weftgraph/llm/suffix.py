@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import saved
+from weftgraph.llm.common import freed, saved
 
 DEPTH, GRAM = 50, 24
 #: Bytes hashed at once, and bytes of text after which a map task sends what it has.
@@ -252,8 +252,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dep
             out += [(i, "open", data) for i, data in _by_doc(doc[several], s[several])]
         return pa.Table.from_batches([_rows(out, False)])
 
-    sent = rows.select("doc", "text").mapInArrow(lambda b: _sends(b, parts, anchors, anchor_fields, 256), _SENT)
-    found = saved(sent.groupBy("part").applyInArrow(found_anchors, _FOUND))
+    found = saved(rows.select("doc", "text").mapInArrow(lambda b: _sends(b, parts, anchors, anchor_fields, 256), _SENT).groupBy("part").applyInArrow(found_anchors, _FOUND))
+    freed(spark)
     of = lambda df, what: df.where(F.col("what") == what).groupBy("doc").agg(F.collect_list("data").alias(what))
 
     def windows(batch: pa.RecordBatch) -> Iterator[tuple]:
@@ -277,9 +277,9 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dep
         out += [(i, "repeats", data) for i, data in _by_doc(doc[doc > least], h[doc > least])]
         return pa.Table.from_batches([_rows(out, False)])
 
-    looked = rows.select("doc", "text").join(of(found, "open"), "doc").select("doc", "text", "open")
-    fine = looked.mapInArrow(lambda b: _sends(b, parts, windows, window_fields, 256), _SENT).groupBy("part").applyInArrow(found_windows, _FOUND)
-    marks = saved(found.where("what <> 'open'").unionByName(fine.withColumn("what", F.lit("windows"))))
+    fine = saved(rows.select("doc", "text").join(of(found, "open"), "doc").select("doc", "text", "open").mapInArrow(lambda b: _sends(b, parts, windows, window_fields, 256), _SENT).groupBy("part").applyInArrow(found_windows, _FOUND))
+    freed(spark)
+    marks = found.where("what <> 'open'").unionByName(fine.withColumn("what", F.lit("windows")))
     both = marks.groupBy("doc").agg(F.collect_list(F.when(F.col("what") == "repeats", F.col("data"))).alias("strings"), F.collect_list(F.when(F.col("what") == "windows", F.col("data"))).alias("windows"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
