@@ -328,13 +328,14 @@ def _cut(ids: pa.Array, texts: list[bytes], strings: list, windows: list, made:
     for w, doc, place in made(some):
         which = _places(w, doc, [strings[i] for i in marked])
         begin, end = w.starts[which], w.ends[which] + depth - 1
-        if any(len(windows[i]) for i in marked):
-            at = np.flatnonzero(doc[: w.count] == doc[depth - 1 :])
-            h = w.hashed(at, depth)
-            for d in np.unique(doc[at]):
-                if len(keys := windows[marked[d]]):
-                    hit = at[(doc[at] == d) & np.isin(h, keys)]
-                    begin, end = np.append(begin, hit), np.append(end, hit + depth)
+        found = [(begin, end)]
+        edges = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])).tolist()
+        for a, b in zip(edges, [*edges[1:], len(doc)]):
+            if len(keys := windows[marked[doc[a]]]):
+                at = np.arange(a, b - depth + 1)
+                hit = at[np.isin(w.hashed(at, depth), keys)]
+                found.append((hit, hit + depth))
+        begin, end = (np.concatenate(x) for x in zip(*found))
         for b, e in zip(begin.tolist(), end.tolist()):
             removed[marked[doc[b]]].append((int(place[b]), int(place[e - 1]) + 1))
     spans, kept = [], []
