@@ -23,7 +23,7 @@ def parser() -> argparse.ArgumentParser:
     out = argparse.ArgumentParser(prog="weftgraph")
     commands = out.add_subparsers(dest="command", required=True)
 
-    def command(name: str, **options: tuple) -> None:
+    def command(name: str, /, **options: tuple) -> None:
         c = commands.add_parser(name)
         for option, (kind, default) in options.items():
             flag = "--" + option.replace("_", "-")

@@ -297,9 +297,13 @@ def link_probability(spark, d):
     return df.select("event_id", F.round("p", 9).alias("probability"), F.round(F.tanh(x), 9).alias("squashed"))
 
 
-@register(STAR + f"""SELECT p, CASE WHEN p = '{KGN}inNation' THEN 0.0::DOUBLE ELSE 0.0::DOUBLE END AS plain, count(*) AS n FROM star GROUP BY p""")
+@register(STAR + f"""SELECT s, o, CASE p WHEN '{KGN}inRegion' THEN -0.9::DOUBLE WHEN '{KGN}inNation' THEN 0.3::DOUBLE ELSE 0.0::DOUBLE END AS historical,
+ CASE p WHEN '{KGN}inRegion' THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END AS current FROM star WHERE p NOT IN ('{vocab.TYPE}', '{vocab.LABEL}')""")
 def predicate_adjustment(spark, d):
-    return star(spark, d).groupBy("p").agg(F.count("*").alias("n")).withColumn("plain", scoring.predicate_adjustment(F.col("p"), "Historica", "which route"))
+    told = F.when(F.col("p").endswith("/inRegion"), KGN + "replaced_by").when(F.col("p").endswith("/inNation"), KGN + "has_route_to").otherwise(F.col("p"))
+    edges = triples.edges(star(spark, d)).withColumn("p", told)
+    adjust = lambda intention, query: scoring.predicate_adjustment(F.col("p"), intention, query)
+    return edges.select("s", "o", adjust("Historica", "which route").alias("historical"), adjust("ImplementacaoAtual", "which way").alias("current"))
 
 
 @register()
