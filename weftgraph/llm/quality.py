@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import SPACE, let, saved, whole, words
+from weftgraph.llm.common import let, saved, whole, words
 
 WINDOW = 8
 
