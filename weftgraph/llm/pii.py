@@ -1,10 +1,10 @@
 """PII: found by form, then by what discloses it.
 
 Addresses and numbers are found by their form. They are the protected entities. A term that stands
-beside an entity discloses it as far as knowing the term tells of the entity: with counts over the
-distinct texts of the corpus, the pointwise mutual information log(N n_et / (n_e n_t)) is set
-against the entity's information log(N / n_e). From `generalise` of it on a term is replaced by a
-general one, and where it reaches `remove` - the term tells the entity outright - it is removed.
+beside an entity discloses it as far as knowing the term tells of the entity: with counts of
+documents, the pointwise mutual information log(N n_et / (n_e n_t)) is set against the entity's
+information log(N / n_e). From `generalise` of it on a term is replaced by a general one, and where
+it reaches `remove` - the term tells the entity outright - it is removed.
 All of it is built-in functions, evaluated in the JVM.
 """
 
@@ -19,14 +19,15 @@ from weftgraph.llm.common import let, saved, whole
 #: look-behind and possessive repeats keep long runs of letters or digits from costing their square.
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
-    "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"(?:\G|(?<![0-9]))[0-9](?:[\x20-]?[0-9]){13,}+",
+    "ip": r"(?=[0-9])(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
+    "card": r"(?=[0-9])(?:\G|(?<![0-9]))[0-9](?:[\x20-]?[0-9]){13,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 KINDS = tuple(PATTERNS)
 #: What a text must hold for a pattern to match.
 HINTS = {"email": "@", "ip": ".", "phone": "+"}
 TERM = r"[\p{L}\p{M}\p{N}]{3,}"
+NO_TERM = r"[^\p{L}\p{M}\p{N}]+"
 #: Code points on either side of an entity that count as beside it.
 CONTEXT = 64
 #: Distinct texts in which a term must stand beside an entity.
@@ -120,27 +121,35 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def disclosing(docs: DataFrame, found: DataFrame, text_col: str = "text", support: int = SUPPORT, generalise: float = GENERALISE) -> tuple[DataFrame, DataFrame]:
-    """(occurrences, terms): where terms stand beside entities, and which disclose (entity, term, disclosure)."""
-    spans = found.where(F.size("spans") > 0).select("key", F.explode("spans").alias("x")).select("key", "x.entity", F.explode("x.terms").alias("t")).select("key", "entity", "t.*").distinct()
-    pairs = spans.select("key", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support)
-    pairs = saved(pairs)
-    entities = found.where(F.size("spans") > 0).select("key", F.explode("spans.entity").alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
+    """(occurrences, terms): where terms stand beside entities, and which disclose (entity, term, disclosure).
+
+    N and the counts are documents; a pair needs `support` different texts, so copies alone never make one.
+    """
+    held = found.where(F.size("spans") > 0)
+    beside = held.select("key", F.explode("spans").alias("x")).select("key", "x.entity", F.explode("x.terms").alias("t")).select("key", "entity", "t.*").distinct()
+    copies = held.groupBy("key").agg(F.count("*").alias("copies"))
+    pairs = beside.select("key", "entity", "term").distinct().join(copies, "key").groupBy("entity", "term").agg(F.count("*").alias("texts"), F.sum("copies").alias("n_et")).where(F.col("texts") >= support)
+    entities = held.select(F.explode(F.array_distinct("spans.entity")).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
+    n = F.lit(found.count())
+    # log(n / n_e) is 0 for an entity that all documents hold: then no term can tell more of it
+    score = lambda n_t: F.log(n * F.col("n_et") / (F.col("n_e") * n_t)) / F.nullif(F.log(n / F.col("n_e")), F.lit(0.0))
+    # a term is in at least the documents where it stands beside an entity: what this bound leaves out
+    # can't disclose, and common words need no count over the corpus
+    near = beside.select("key", "term").distinct().join(copies, "key").groupBy("term").agg(F.sum("copies").alias("least"))
+    pairs = saved(pairs.join(entities, "entity").join(near, "term").where(score(F.col("least")) >= generalise).drop("least"))
     wanted = saved(pairs.select("term").distinct())
     small = wanted.count() <= BROADCAST
-    total = found.select(F.approx_count_distinct("key", 0.01)).first()[0]
-    tokens = docs.select(F.md5(whole(text_col).cast("binary")).alias("key"), F.explode(F.regexp_extract_all(F.lower(whole(text_col)), F.lit(TERM), F.lit(0))).alias("term"))
-    counted = tokens.join(F.broadcast(wanted) if small else wanted, "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
-    n = F.greatest(F.lit(total), F.col("n_e"), F.col("n_t")) + 1  # the count of distinct texts is an estimate
-    score = F.log(n * F.col("n_et") / (F.col("n_e") * F.col("n_t"))) / F.log(n / F.col("n_e"))
-    terms = pairs.join(entities, "entity").join(counted, "term").select("entity", "term", score.alias("disclosure")).where(F.col("disclosure") >= generalise)
-    return spans, saved(terms)
+    tokens = F.array_distinct(F.split(F.lower(whole(text_col)), NO_TERM))
+    counted = docs.select(F.explode(tokens).alias("term")).join(F.broadcast(wanted) if small else wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+    terms = pairs.join(counted, "term").select("entity", "term", score(F.col("n_t")).alias("disclosure")).where(F.col("disclosure") >= generalise)
+    return beside, saved(terms)
 
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each document: id, key, base (spans of KINDS) and terms (spans of disclosing terms, with disclosure).
 
     Null texts count as empty ones and have no spans. Only documents that hold an entity can have
-    term spans. Copies of a text count once in the corpus counts. Repeated rows each get a row; an
+    term spans. Repeated rows each get a row; an
     empty table gives none. Other columns are not read.
     """
     found = detect(docs, id_col, text_col)
