@@ -22,6 +22,8 @@ from weftgraph.llm.common import n_words, saved
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Documents that one block settles, and so what a task holds in memory.
 BLOCK = 8192
+#: Sources whose rates are broadcast, at under 200 bytes each; more are joined by shuffle.
+BROADCAST = 100_000
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0) -> DataFrame:
@@ -119,6 +121,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0
     spec = targets(sizes.drop("n"), weights, most).join(sizes.select(F.col("source").alias("s"), "n"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     rate = F.when(F.col("source_size") > 0, F.least(F.lit(most), F.col("target") / F.col("source_size"))).otherwise(0.0)
     spec = spec.select(F.col("source").alias("s"), "source_size", "target", rate.alias("rate"), F.ceil(F.col("n") / block).cast("long").alias("blocks"))
+    if sizes.count() <= BROADCAST:
+        spec = F.broadcast(spec)
     rows = rows.join(spec, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     base = F.floor(F.col("rate") + 1e-9)
     rows = rows.withColumn("base", base.cast("long")).withColumn("p", F.greatest(F.lit(0.0), F.col("rate") - F.col("base"))).drop("rate")
