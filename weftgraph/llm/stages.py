@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftgraph.llm import mixing, packing, pii, quality, simhash
+from weftgraph.llm import minhash, mixing, packing, pii, quality
 
 
 def _numbered(df: DataFrame, order: list) -> DataFrame:
@@ -26,10 +26,15 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the least id stays; of rows that repeat an id, one."""
-    found = simhash.near_duplicates(docs).select("doc_id", "component_id")
-    firsts = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return _numbered(docs, [F.xxhash64("text")]).where("__k = 1").drop("__k").join(firsts.withColumnRenamed("doc_id", "__d"), F.col("doc_id").eqNullSafe(F.col("__d")), "left_semi")
+    """Of each group of near duplicates the document with the least id stays; of rows that repeat an id, one.
+
+    Near are texts with 0.8 of their five-word shingles in common, which is not operator 7's contract.
+    """
+    rows = minhash.keyed(docs)
+    parts = minhash.components(rows.select(F.col("__key").alias("key"), F.col("text"))).withColumnRenamed("key", "__key")
+    found = rows.select("doc_id", "__key").join(parts, "__key")
+    firsts = found.groupBy("component").agg(F.min("doc_id").alias("__d")).select("__d").distinct()
+    return _numbered(docs, [F.xxhash64("text")]).where("__k = 1").drop("__k").join(firsts, F.col("doc_id").eqNullSafe(F.col("__d")), "left_semi")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
