@@ -32,3 +32,12 @@ def test_near_means_four_fifths_of_the_shingles(spark):
     first = {p: min(i for i, q in enumerate(parent) if q == p) for p in parent}
     got = stages.near_dedup(spark, frame(spark, list(enumerate(texts))), "").collect()
     assert Counter(r["doc_id"] for r in got) == Counter(first.values()) and len(first) == 8
+
+
+def test_rows_not_ids_are_decided(spark):
+    text = lambda w, n=30: " ".join(f"{w}{i}" for i in range(n))
+    rows = [(1, text("a")), (5, text("a")), (5, text("b")), (7, text("c")), (7, text("d")), (None, text("e")), (None, text("f")), (None, text("f")), (None, text("b")), (None, None), (None, ""), (8, text("g")), (8, text("g"))]
+    got = stages.near_dedup(spark, frame(spark, rows), "").collect()
+    want = [(1, text("a")), (5, text("b")), (7, text("c")), (7, text("d")), (None, text("e")), (None, text("f")), (8, text("g"))]
+    assert Counter((r["doc_id"], r["text"]) for r in got if r["text"]) == Counter(want)
+    assert sum(not r["text"] for r in got) == 1

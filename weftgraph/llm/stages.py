@@ -26,15 +26,18 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the least id stays; of rows that repeat an id, one.
+    """Of each group of near duplicates one row stays, that of the least id; rows are told apart by id and text, whatever ids repeat or are null.
 
     Near are texts with 0.8 of their five-word shingles in common, which is not operator 7's contract.
     """
     rows = minhash.keyed(docs)
     parts = minhash.components(rows.select(F.col("__key").alias("key"), F.col("text"))).withColumnRenamed("key", "__key")
     found = rows.select("doc_id", "__key").join(parts, "__key")
-    firsts = found.groupBy("component").agg(F.min("doc_id").alias("__d")).select("__d").distinct()
-    return _numbered(docs, [F.xxhash64("text")]).where("__k = 1").drop("__k").join(firsts, F.col("doc_id").eqNullSafe(F.col("__d")), "left_semi")
+    # null ids come last
+    stays = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__key")).alias("x")).select(F.col("x.doc_id").alias("__d"), F.col("x.__key").alias("__k"))
+    held = rows.join(stays, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__key") == F.col("__k")), "left_semi")
+    once = Window.partitionBy("doc_id", "__key").orderBy(*(F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")))
+    return held.withColumn("__n", F.row_number().over(once)).where("__n = 1").select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
