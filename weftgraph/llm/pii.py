@@ -1,10 +1,11 @@
 """PII: found by form, then by what discloses it.
 
-Addresses and numbers are found by their form. They are the protected entities. A term that stands
-beside an entity discloses it as far as knowing the term tells of the entity: with counts of
+Addresses and numbers are found by their form. They are the protected entities. A term that is in
+documents with an entity discloses it as far as knowing the term tells of the entity: with counts of
 documents, the pointwise mutual information log(N n_et / (n_e n_t)) is set against the entity's
 information log(N / n_e). From `generalise` of it on a term is replaced by a general one, and where
-it reaches `remove` - the term tells the entity outright - it is removed.
+it reaches `remove` - the term tells the entity outright - it is removed, wherever it stands in any
+document, whether or not that holds the entity.
 All of it is built-in functions, evaluated in the JVM.
 """
 
@@ -26,11 +27,9 @@ PATTERNS = {
 KINDS = tuple(PATTERNS)
 #: What a text must hold for a pattern to match.
 HINTS = {"email": "@", "ip": ".", "phone": "+"}
-TERM = r"[\p{L}\p{M}\p{N}]{3,}"
 NO_TERM = r"[^\p{L}\p{M}\p{N}]+"
-#: Code points on either side of an entity that count as beside it.
-CONTEXT = 64
-#: Distinct texts in which a term must stand beside an entity.
+WORD = r"[\p{L}\p{M}\p{N}]+"
+#: Distinct texts that must hold both a term and an entity.
 SUPPORT = 3
 GENERALISE, REMOVE = 0.9, 1.0
 #: Terms that may be broadcast, at under 100 bytes each; with more the counts are joined by shuffle.
@@ -88,77 +87,87 @@ def base_spans(text: Column) -> Column:
     return F.sort_array(F.concat(*found))
 
 
-def _beside(text: Column, span: Column) -> Column:
-    """Terms beside a span with their places; such as the context cuts through are left out."""
-    n = F.char_length(text)
-
-    def side(begin: Column, end: Column) -> Column:
-        def of(b: Column) -> Column:
-            terms = located(F.substring(text, b["b"] + 1, b["e"] - b["b"]), TERM)
-            inside = F.filter(terms, lambda t: ((t["start"] > 0) | (b["b"] == 0) | (b["b"] == span["end"])) & ((b["b"] + t["end"] < b["e"]) | (b["e"] == n) | (b["e"] == span["start"])))
-            return F.transform(inside, lambda t: F.struct(F.lower(t["value"]).alias("term"), (b["b"] + t["start"]).alias("start"), (b["b"] + t["end"]).alias("end")))
-
-        return let(F.struct(begin.alias("b"), end.alias("e")), of)
-
-    return F.concat(side(F.greatest(F.lit(0), span["start"] - CONTEXT), span["start"]), side(span["end"], F.least(n, span["end"] + CONTEXT)))
-
-
 def _entity(kind: Column, value: Column) -> Column:
     same = F.when(kind.isin(KINDS.index("card"), KINDS.index("phone")), F.regexp_replace(value, "[^0-9]", "")).otherwise(F.lower(value))
     return F.concat_ws(":", kind.cast("string"), same)
 
 
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, key, spans) for all documents; key is the MD5 of the text, each span has its entity and the terms beside it."""
+    """Rows (id, key, spans, terms) for all documents; key is the MD5 of the text, each span has its entity; terms, where there are spans, are those outside them."""
     text = F.col("__text")
     rows = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("__text"))
     rows = rows.select("id", "__text", F.md5(text.cast("binary")).alias("key"), base_spans(text).alias("spans"))
-    # a term inside another span is that span's
-    free = lambda spans, t: ~F.exists(spans, lambda y: (t["start"] < y["end"]) & (t["end"] > y["start"]))
-    full = let(F.col("spans"), lambda spans: F.transform(spans, lambda x: F.struct(x["start"], x["end"], x["kind"], _entity(x["kind"], x["value"]).alias("entity"), F.filter(_beside(text, x), lambda t: free(spans, t)).alias("terms"))))
-    kind = "array<struct<start:int,end:int,kind:int,entity:string,terms:array<struct<term:string,start:int,end:int>>>>"
-    return saved(rows.select("id", "key", F.when(F.size("spans") > 0, full).otherwise(F.array()).cast(kind).alias("spans")))
+    full = F.transform("spans", lambda x: F.struct(x["start"], x["end"], x["kind"], _entity(x["kind"], x["value"]).alias("entity")))
+    outside = _rewritten(text, F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(" ").alias("put"))))
+    terms = F.filter(F.array_distinct(F.split(F.lower(outside), NO_TERM)), lambda t: F.char_length(t) >= 3)
+    held = F.size("spans") > 0
+    kind = "array<struct<start:int,end:int,kind:int,entity:string>>"
+    return saved(rows.select("id", "key", F.when(held, full).otherwise(F.array()).cast(kind).alias("spans"), F.when(held, terms).alias("terms")))
 
 
-def disclosing(docs: DataFrame, found: DataFrame, text_col: str = "text", support: int = SUPPORT, generalise: float = GENERALISE) -> tuple[DataFrame, DataFrame]:
-    """(occurrences, terms): where terms stand beside entities, and which disclose (entity, term, disclosure).
+def disclosing(docs: DataFrame, found: DataFrame, text_col: str = "text", support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
+    """Which terms disclose: (entity, term, disclosure).
 
     N and the counts are documents; a pair needs `support` different texts, so copies alone never make one.
     """
-    held = found.where(F.size("spans") > 0)
-    beside = held.select("key", F.explode("spans").alias("x")).select("key", "x.entity", F.explode("x.terms").alias("t")).select("key", "entity", "t.*").distinct()
-    copies = held.groupBy("key").agg(F.count("*").alias("copies"))
-    pairs = beside.select("key", "entity", "term").distinct().join(copies, "key").groupBy("entity", "term").agg(F.count("*").alias("texts"), F.sum("copies").alias("n_et")).where(F.col("texts") >= support)
-    entities = held.select(F.explode(F.array_distinct("spans.entity")).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
+    held = found.where(F.size("spans") > 0).select("key", F.array_distinct("spans.entity").alias("entities"), "terms")
+    texts = saved(held.groupBy("key").agg(F.count("*").alias("copies"), F.first("entities").alias("entities"), F.first("terms").alias("terms")))
     n = F.lit(found.count())
+    # no pair has more texts than its entity
+    entities = saved(texts.select("copies", F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("texts"), F.sum("copies").alias("n_e")).where(F.col("texts") >= support).drop("texts"))
     # log(n / n_e) is 0 for an entity that all documents hold: then no term can tell more of it
-    score = lambda n_t: F.log(n * F.col("n_et") / (F.col("n_e") * n_t)) / F.nullif(F.log(n / F.col("n_e")), F.lit(0.0))
-    # a term is in at least the documents where it stands beside an entity: what this bound leaves out
-    # can't disclose, and common words need no count over the corpus
-    near = beside.select("key", "term").distinct().join(copies, "key").groupBy("term").agg(F.sum("copies").alias("least"))
-    pairs = saved(pairs.join(entities, "entity").join(near, "term").where(score(F.col("least")) >= generalise).drop("least"))
+    score = lambda n_et, n_t: F.log(n * n_et / (F.col("n_e") * n_t)) / F.nullif(F.log(n / F.col("n_e")), F.lit(0.0))
+    # a term is in at least the documents that hold it and any entity, and with an entity in at most n_e:
+    # what these bounds leave out can't disclose, and common words need no count over the corpus
+    most = entities.agg(F.max(F.col("n_e") * F.pow(n / F.col("n_e"), F.lit(1 - generalise)))).first()[0] or 0.0
+    each = texts.select("copies", "entities", F.explode("terms").alias("term"))
+    near = each.groupBy("term").agg(F.count("*").alias("texts"), F.sum("copies").alias("least")).where((F.col("texts") >= support) & (F.col("least") <= most + 1e-6)).drop("texts")
+    both = each.join(near, "term").select("copies", "term", "least", F.explode("entities").alias("entity")).join(entities, "entity").where(score(F.col("n_e"), F.col("least")) >= generalise - 1e-9)
+    pairs = both.groupBy("entity", "term").agg(F.count("*").alias("texts"), F.sum("copies").alias("n_et"), F.first("n_e").alias("n_e"), F.first("least").alias("least"))
+    pairs = saved(pairs.where((F.col("texts") >= support) & (score(F.col("n_et"), F.col("least")) >= generalise)).drop("texts", "least"))
     wanted = saved(pairs.select("term").distinct())
-    small = wanted.count() <= BROADCAST
     tokens = F.array_distinct(F.split(F.lower(whole(text_col)), NO_TERM))
-    counted = docs.select(F.explode(tokens).alias("term")).join(F.broadcast(wanted) if small else wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
-    terms = pairs.join(counted, "term").select("entity", "term", score(F.col("n_t")).alias("disclosure")).where(F.col("disclosure") >= generalise)
-    return beside, saved(terms)
+    counted = docs.select(F.explode(tokens).alias("term")).join(_bounded(wanted), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+    return saved(pairs.join(counted, "term").select("entity", "term", score(F.col("n_et"), F.col("n_t")).alias("disclosure")).where(F.col("disclosure") >= generalise))
+
+
+def _bounded(terms: DataFrame) -> DataFrame:
+    """Terms, one row each, broadcast if they may be."""
+    return F.broadcast(terms) if terms.count() <= BROADCAST else terms
+
+
+def marked(docs: DataFrame, terms: DataFrame, text_col: str = "text") -> DataFrame:
+    """(key, terms) for each text that holds any of `terms` (term, disclosure): all their places, with what they disclose."""
+    text = whole(text_col)
+    rows = docs.select(F.md5(text.cast("binary")).alias("key"), text.alias("__text"))
+    told = F.regexp_extract_all("__text", F.lit(WORD), F.lit(0))
+    hits = rows.select("key", F.posexplode(F.transform(told, lambda t: F.lower(t))).alias("i", "term")).join(_bounded(terms), "term").groupBy("key").agg(F.collect_set(F.struct("i", "disclosure")).alias("hits"))
+    # a word begins after all words before it and the gaps up to it
+    sizes = F.zip_with(F.transform(told, lambda t: F.char_length(t)), F.transform(F.split("__text", WORD, -1), lambda g: F.char_length(g)), lambda w, g: F.struct(F.coalesce(w, F.lit(0)).alias("w"), g.alias("g")))
+
+    def place(s: Column, x: Column) -> Column:
+        before = F.aggregate(F.slice(s, F.lit(1), x["i"]), F.lit(0), lambda at, y: at + y["w"] + y["g"])
+        return let(before + F.get(s, x["i"])["g"], lambda at: F.struct(at.alias("start"), (at + F.get(s, x["i"])["w"]).alias("end"), x["disclosure"].alias("disclosure")))
+
+    places = let(F.struct(sizes.alias("s"), F.col("hits").alias("h")), lambda b: F.transform(b["h"], lambda x: place(b["s"], x)))
+    return rows.join(hits, "key").select("key", F.sort_array(places).alias("terms")).dropDuplicates(["key"])
 
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each document: id, key, base (spans of KINDS) and terms (spans of disclosing terms, with disclosure).
 
-    Null texts count as empty ones and have no spans. Only documents that hold an entity can have
-    term spans. Repeated rows each get a row; an
+    Null texts count as empty ones and have no spans. Disclosing terms are marked in all documents,
+    but not inside a span of KINDS, which has its own. Repeated rows each get a row; an
     empty table gives none. Other columns are not read.
     """
     found = detect(docs, id_col, text_col)
-    occurrences, terms = disclosing(docs, found, text_col)
-    marks = occurrences.join(terms, ["entity", "term"]).groupBy("key", "start", "end").agg(F.max("disclosure").alias("disclosure"))
-    marks = marks.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "end", "disclosure"))).alias("terms"))
+    terms = saved(disclosing(docs, found, text_col).groupBy("term").agg(F.max("disclosure").alias("disclosure")))
+    marks = marked(docs, terms, text_col).withColumnRenamed("terms", "marks")
     base = F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))
     none = F.array().cast("array<struct<start:int,end:int,disclosure:double>>")
-    return found.select(F.col("id").alias(id_col), "key", base.alias("base")).join(marks, "key", "left").withColumn("terms", F.coalesce("terms", none))
+    free = let(F.struct("base", "marks"), lambda b: F.filter(b["marks"], lambda t: ~F.exists(b["base"], lambda y: (t["start"] < y["end"]) & (t["end"] > y["start"]))))
+    joined = found.select(F.col("id").alias(id_col), "key", base.alias("base")).join(marks, "key", "left")
+    return joined.select(id_col, "key", "base", F.when(F.col("marks").isNotNull(), free).otherwise(none).alias("terms"))
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -188,7 +197,7 @@ def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
 
     Texts without a span, null ones too, are as they were.
     """
-    found = spans(docs, id_col, text_col).where("size(base) > 0").select("key", "base", "terms").dropDuplicates(["key"])
+    found = spans(docs, id_col, text_col).where("size(base) > 0 or size(terms) > 0").select("key", "base", "terms").dropDuplicates(["key"])
     put = F.transform("base", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.element_at(F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS)), x["kind"] + 1).alias("put")))
     terms = F.transform("terms", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.when(x["disclosure"] >= remove, F.lit("")).otherwise(F.lit("[TERM]")).alias("put")))
     found = found.select(F.col("key").alias("__key"), F.sort_array(F.concat(put, terms)).alias("__put"))
