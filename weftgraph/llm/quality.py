@@ -10,7 +10,7 @@ odds, which is a plain column expression. All of it is built-in functions, evalu
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from weftgraph.llm.common import let, saved, whole, words
 
 WINDOW = 8
+#: Documents that what is expected of the rules weighs as much as.
+PRIOR = 100
 
 
 def _covered(windows: Column) -> Column:
@@ -139,17 +141,25 @@ def votes(measured: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 def fit(voted: DataFrame, rules: tuple[Rule, ...] = RULES, rounds: int = 50) -> Model:
     """EM over the counts of vote patterns, of which there are at most 3 ** len(rules).
 
-    What is expected of any rule stands as pseudo-counts beside the data: its fault has a few
-    hundredths of the documents, of which it sees nine in ten, and it speaks against two others in
-    a thousand. Where only one rule sees a fault, no data can tell a common fault from a common
-    mistake of the rule, and this expectation decides. No documents: it is the model.
+    What is expected of any rule stands beside the data as a fixed number of documents, so with many
+    documents the data decide: PRIOR of them, a fifth with a fault, of which the rule sees nine in
+    ten, and nine in ten of a rule's votes against are right. How bad documents are praised is read
+    where two rules agree, how good ones are where none speaks against. A rule that mostly speaks
+    alone, against documents praised as good ones are, loses its say; where praise tells nothing,
+    the expectation stands. No documents: it is the model.
     """
     names = [f"vote_{r.name}" for r in rules]
     table = sorted((tuple(row[n] for n in names), row["count"]) for row in voted.groupBy(*names).count().collect())
-    total, each = max(1, sum(n for _, n in table)), range(len(rules))
+    total, each = sum(n for _, n in table), range(len(rules))
     bipolar = [any(p[r] == 1 for p, _ in table) for r in each]
-    light = 0.05 * total
     model = Model(0.8, (0.2 / len(rules),) * len(rules), (0.9,) * len(rules), (0.002,) * len(rules), tuple((0.8, 0.6) if b else (0.5, 0.5) for b in bipolar))
+    praise = []
+    for r in each:
+        rate = lambda held, mean, weight: (sum(n for p, n in held if p[r] == 1) + mean * weight) / (sum(n for p, n in held if p[r] != -1) + weight)
+        of_good = rate([x for x in table if -1 not in x[0]], 0.8, 1)
+        praise.append((of_good, rate([x for x in table if x[0].count(-1) > 1], 0.75 * of_good, PRIOR / 5)) if bipolar[r] else (0.5, 0.5))
+    model = replace(model, praise=tuple(praise))
+    fault = 0.2 * PRIOR / len(rules)
     before = None
     for _ in range(rounds if table else 0):
         post = []
@@ -162,19 +172,13 @@ def fit(voted: DataFrame, rules: tuple[Rule, ...] = RULES, rounds: int = 50) ->
         before = post
         rows = [(p, n, g, k) for (p, n), (g, k) in zip(table, post)]
         mass = [sum(n * k[r] for _, n, _, k in rows) for r in each]
-        good = (sum(n * g for _, n, g, _ in rows) + 0.8 * light) / (total + light)
-        kinds = tuple((mass[r] + 0.2 * light / len(rules)) / (total + light) for r in each)
-        caught = tuple((sum(n * k[r] for p, n, _, k in rows if p[r] == -1) + 0.9 * light) / (mass[r] + light) for r in each)
-        wrong = tuple((sum(n * (1 - k[r]) for p, n, _, k in rows if p[r] == -1) + 0.002 * total) / (2 * total - mass[r]) for r in each)
-        praise = []
-        for r in each:
-            voted_1, not_against = [x for x in rows if x[0][r] == 1], [x for x in rows if x[0][r] != -1]
-            of_good = (sum(n * g for _, n, g, _ in voted_1) + 0.8 * light) / (sum(n * g for _, n, g, _ in not_against) + light)
-            of_bad = (sum(n * (1 - g) for _, n, g, _ in voted_1) + 0.6 * light) / (sum(n * (1 - g) for _, n, g, _ in not_against) + light)
-            praise.append((of_good, of_bad) if bipolar[r] else (0.5, 0.5))
+        good = (sum(n * g for _, n, g, _ in rows) + 0.8 * PRIOR) / (total + PRIOR)
+        kinds = tuple((mass[r] + fault) / (total + PRIOR) for r in each)
+        caught = tuple((sum(n * k[r] for p, n, _, k in rows if p[r] == -1) + 0.9 * fault) / (mass[r] + fault) for r in each)
+        wrong = tuple((sum(n * (1 - k[r]) for p, n, _, k in rows if p[r] == -1) + 0.1 * fault) / (total - mass[r] + PRIOR - fault) for r in each)
         against = [sum(n for p, n, _, _ in rows if p[r] == -1) for r in each]
         right = tuple(sum(n * (1 - g) for p, n, g, _ in rows if p[r] == -1) / against[r] if against[r] else 1.0 for r in each)
-        model = Model(good, kinds, caught, wrong, tuple(praise), right)
+        model = Model(good, kinds, caught, wrong, model.praise, right)
     return model
 
 
