@@ -36,12 +36,14 @@ def n_words(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; a folder of our own only where none is set."""
+    """The folder all executors share, from spark.checkpoint.dir; a folder of our own only where none is set and all runs on one machine."""
     sc = spark.sparkContext
     if folder := spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir():
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(folder)
         return folder
+    if sc.master != "local" and not sc.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     sc.setCheckpointDir(folder := tempfile.mkdtemp(prefix="weftgraph-checkpoints-"))
     return folder
 

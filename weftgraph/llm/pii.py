@@ -75,12 +75,12 @@ def _valid(kind: str, value: Column) -> Column:
 
 
 def base_spans(text: Column) -> Column:
-    """array<struct<start, end, kind (place in KINDS), value>> of all kinds, by start, then kind."""
-    none = F.array().cast("array<struct<start:int,end:int,kind:int,value:string>>")
+    """array<struct<start, kind (place in KINDS), end, value>> of all kinds, by start, then kind."""
+    none = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
 
     def of(i: int, kind: str) -> Column:
         kept = F.filter(located(text, PATTERNS[kind]), lambda x: _valid(kind, x["value"]))
-        spans = F.transform(kept, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(i).alias("kind"), x["value"].alias("value")))
+        spans = F.transform(kept, lambda x: F.struct(x["start"].alias("start"), F.lit(i).alias("kind"), x["end"].alias("end"), x["value"].alias("value")))
         return F.when(F.contains(text, F.lit(HINTS[kind])), spans).otherwise(none) if kind in HINTS else spans
 
     found = [of(i, kind) for i, kind in enumerate(KINDS)]
@@ -175,7 +175,8 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     name = lambda k: F.element_at(F.array(*map(F.lit, KINDS)), k + 1)
     told = lambda k, x: F.concat_ws(":", k, x["start"].cast("string"), x["end"].cast("string"))
     base = F.transform("base", lambda x: told(name(x["kind"]), x))
-    merged = F.sort_array(F.concat("base", F.transform("terms", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(len(KINDS)).alias("kind")))))
+    placed = lambda x, kind: F.struct(x["start"].alias("start"), kind.alias("kind"), x["end"].alias("end"))
+    merged = F.sort_array(F.concat(F.transform("base", lambda x: placed(x, x["kind"])), F.transform("terms", lambda x: placed(x, F.lit(len(KINDS))))))
     everything = F.transform(merged, lambda x: told(F.when(x["kind"] == len(KINDS), F.lit("term")).otherwise(name(F.least(x["kind"], F.lit(len(KINDS) - 1)))), x))
     count = lambda i: F.size(F.filter("base", lambda x: x["kind"] == i)).cast("long")
     counts = [count(i).alias(f"n_{k}") for i, k in enumerate(KINDS)]
@@ -193,14 +194,16 @@ def _rewritten(text: Column, merged: Column) -> Column:
 
 
 def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", remove: float = REMOVE) -> DataFrame:
-    """`docs` with the spans of their texts replaced: entities by their kind, terms by [TERM] or nothing; other columns stay.
+    """`docs` with the spans of their texts replaced: entities by their kind, terms by [TERM] or nothing; other columns stay, whatever their names.
 
-    Texts without a span, null ones too, are as they were.
+    Texts without a span, null ones too, are as they were. Repeated rows are each rewritten; an empty table gives none.
     """
     found = spans(docs, id_col, text_col).where("size(base) > 0 or size(terms) > 0").select("key", "base", "terms").dropDuplicates(["key"])
     put = F.transform("base", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.element_at(F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS)), x["kind"] + 1).alias("put")))
     terms = F.transform("terms", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.when(x["disclosure"] >= remove, F.lit("")).otherwise(F.lit("[TERM]")).alias("put")))
-    found = found.select(F.col("key").alias("__key"), F.sort_array(F.concat(put, terms)).alias("__put"))
-    text = F.col(f"`{text_col}`")
-    joined = docs.withColumn("__key", F.md5(text.cast("binary"))).join(found, "__key", "left")
-    return joined.withColumn(text_col, F.when(F.col("__put").isNull(), text).otherwise(_rewritten(text, F.col("__put")))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    found = found.select("key", F.sort_array(F.concat(put, terms)).alias("put"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
+    text = F.col("doc")[text_col]
+    joined = rows.withColumn("key", F.md5(text.cast("binary"))).join(found, "key", "left")
+    new = F.when(F.col("put").isNull(), text).otherwise(_rewritten(text, F.col("put")))
+    return joined.select(*((new if c == text_col else F.col("doc")[c]).alias(c) for c in docs.columns))
