@@ -83,8 +83,16 @@ def test_token_rollup(spark, docs, none, tmp_path):
     rollup.commit("2", tokens.signed(some, -1))
     rollup.commit("3", tokens.revised(counted.where("doc_id >= 10 and doc_id < 20"), counted.where("doc_id >= 10 and doc_id < 20").withColumn("tokenizer", F.lit("t2"))))
     assert rollup.commit("4", tokens.signed(tokens.counted(none, "t1"), 1)) and rollup.batches() == ["1", "2", "3", "4"]
-    (tmp_path / "r" / "batch=5").mkdir()  # a batch that was cut off
+    tokens.signed(some, 1).write.parquet(str(tmp_path / "r/data/5-x"))  # a batch that was cut off
     assert rollup.batches() == ["1", "2", "3", "4"]
+    before = Counter(map(tuple, rollup.totals().collect()))
+    assert rollup.compact() == 4 and rollup.compact() == 0 and rollup.batches() == ["1", "2", "3", "4"] and rollup.committed("2")
+    assert not rollup.commit("2", tokens.signed(some, -1)) and Counter(map(tuple, rollup.totals().collect())) == before
+    rollup.commit("6", tokens.signed(some, 1))
+    (tmp_path / "r/merged/3").rename(tmp_path / "r/commits/3")  # a compaction that was cut off
+    rollup.commit("7", tokens.signed(some, -1))
+    assert Counter(map(tuple, rollup.totals().collect())) == before and rollup.compact() == 2
+    assert Counter(map(tuple, rollup.totals().collect())) == before and rollup.batches() == ["1", "2", "3", "4", "6", "7"]
     want = defaultdict(lambda: [0, 0, 0])
     for r in docs.collect():
         i, t = r["doc_id"], r["text"] or ""
@@ -104,6 +112,26 @@ def test_long_texts_are_counted_in_pieces(monkeypatch):
     assert tokens.count(text) == len(whole.encode_ordinary(text))
 
 
+def test_of_two_writers_one_commits(spark, docs, tmp_path, monkeypatch):
+    delta = tokens.signed(tokens.counted_words(docs), 1)
+    a, b = (tokens.Rollup(spark, str(tmp_path / "r")) for _ in "ab")
+    written = b._written
+    monkeypatch.setattr(b, "_written", lambda sums, name: (written(sums, name), a.commit("x", delta))[0])  # a comes in between
+    assert not b.commit("x", delta)
+    assert a.totals().agg(F.sum("n_docs")).first()[0] == docs.count() and len(list((tmp_path / "r/data").iterdir())) == 1
+
+
+def test_streams_do_not_share_batches(spark, tmp_path):
+    schema = "source string, lang string, tokenizer string, n_docs long, n_chars long, n_tokens long"
+    rollup = tokens.Rollup(spark, str(tmp_path / "r"))
+    for i in range(2):
+        spark.createDataFrame([("s", "en", "t", 1, 1, 1)], schema).write.parquet(str(tmp_path / f"in{i}"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / f"in{i}"))
+        for _ in range(2):  # the second finds nothing new
+            tokens.follow(stream, rollup, str(tmp_path / f"c{i}")).trigger(availableNow=True).start().awaitTermination()
+    assert rollup.totals().first()["n_docs"] == 2
+
+
 def test_stream_commits_once(spark, docs, tmp_path):
     tokens.signed(tokens.counted_words(docs), 1).write.parquet(str(tmp_path / "in"))
     rollup = tokens.Rollup(spark, str(tmp_path / "r"))

@@ -3,20 +3,21 @@
 A change of the corpus is a set of signed rows: an inserted document counts +1, a deleted one -1,
 a revised count is the old row with -1 and the new one with +1. A batch is aggregated by group
 before anything is written, so what a commit adds is as large as the list of groups, not as the
-corpus. Each batch is one folder; it counts once its writer has left the mark of success there, and
-a batch that is committed is never written again: to retry a batch, after a lost driver too, is
-harmless. Totals add up committed batches only; they are additive.
+corpus. A batch is committed once and counts once: to retry it, after a lost driver too, is
+harmless. Totals are additive, so batches are added up into a base from time to time.
 """
 
 from __future__ import annotations
 
 import base64
 import re
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
 import tiktoken
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,53 +87,131 @@ def revised(old: DataFrame, new: DataFrame) -> DataFrame:
 class Rollup:
     """Totals in a folder that all executors share.
 
+    A batch is written to a folder of its own in data/, whose name is then put into the file
+    commits/<batch>, which can be made only once: of several writers of a batch, also at the same
+    time, one commits. `compact` adds committed batches up into a base; bases/<n> names its folder
+    and the batches that it holds, so a reader that comes in between counts none twice, and their
+    marks go to merged/. Totals read the last base and the batches since.
+
     Groups with a null source or language are groups like others. A batch without rows commits
     nothing but its mark. Repeated rows of a batch each count.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+        self._path, self._once = hadoop.Path, hadoop.FileContext
+        self._conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self._files = hadoop.Path(self.path).getFileSystem(self._conf)
 
-    def _files(self):
-        jvm = self.spark.sparkContext._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        return root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
-
-    def _folder(self, batch: str) -> str:
+    def _named(self, batch: str) -> str:
         if not re.fullmatch(r"[A-Za-z0-9_.-]+", batch):
             raise ValueError(f"a batch id has letters, digits, '_', '.' and '-': {batch!r}")
-        return f"{self.path}/batch={batch}"
+        return batch
+
+    def _exists(self, name: str) -> bool:
+        return self._files.exists(self._path(f"{self.path}/{name}"))
+
+    def _list(self, folder: str) -> list[str]:
+        at = self._path(f"{self.path}/{folder}")
+        return sorted(n for s in (self._files.listStatus(at) if self._files.exists(at) else []) if not (n := s.getPath().getName()).startswith((".", "_")))
+
+    def _read(self, names: list[str]) -> list[str]:
+        """The lines of small files."""
+        return [r["value"] for r in self.spark.read.text([f"{self.path}/{n}" for n in names]).collect()] if names else []
+
+    def _mark(self, name: str, lines: list[str]) -> bool:
+        """Make a file with these lines; False if there is one of its name."""
+        at, own = self._path(f"{self.path}/{name}"), self._path(f"{self.path}/.{uuid.uuid4()}")
+        out = self._files.create(own, False)
+        out.write("\n".join(lines).encode())
+        out.close()
+        self._files.mkdirs(at.getParent())
+        try:
+            none = self.spark.sparkContext._gateway.new_array(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename, 0)
+            self._once.getFileContext(at.toUri() if at.toUri().getScheme() else self._files.getUri(), self._conf).rename(own, at, none)
+        except Py4JJavaError as e:
+            self._files.delete(own, False)
+            if "FileAlreadyExists" in str(e.java_exception):
+                return False
+            raise
+        return True
 
     def committed(self, batch: str) -> bool:
-        files, path = self._files()
-        return files.exists(path(f"{self._folder(batch)}/_SUCCESS"))
+        return self._exists(f"commits/{self._named(batch)}") or self._exists(f"merged/{batch}")
+
+    def _written(self, sums: DataFrame, name: str) -> str:
+        folder = f"data/{name}-{uuid.uuid4()}"
+        sums.coalesce(1).write.parquet(f"{self.path}/{folder}")
+        return folder
 
     def commit(self, batch: str, delta: DataFrame) -> bool:
         """Add a batch of signed rows; False, and nothing changes, if it was committed before."""
         if self.committed(batch):
             return False
-        sums = delta.groupBy(*GROUP).agg(*(F.sum(c).alias(c) for c in SUMS))
-        sums.coalesce(1).write.mode("overwrite").parquet(self._folder(batch))
-        return True
+        folder = self._written(_summed(delta), batch)
+        if self._mark(f"commits/{batch}", [folder]):
+            return True
+        self._files.delete(self._path(f"{self.path}/{folder}"), True)
+        return False
 
     def batches(self) -> list[str]:
         """Ids of the committed batches."""
-        files, path = self._files()
-        if not files.exists(path(self.path)):
-            return []
-        names = [s.getPath().getName() for s in files.listStatus(path(self.path))]
-        return sorted(n[6:] for n in names if n.startswith("batch=") and self.committed(n[6:]))
+        return sorted({*self._list("commits"), *self._list("merged")})
+
+    def _live(self) -> tuple[list[str], list[str], list[str]]:
+        """Folder of the last base, if any; batches that it holds whose marks are not yet put away; batches since."""
+        bases = sorted(self._list("bases"), key=int)
+        base, *held = self._read([f"bases/{bases[-1]}"]) if bases else [None]
+        commits = self._list("commits")
+        return [base] if base else [], [b for b in commits if b in set(held)], [b for b in commits if b not in set(held)]
 
     def totals(self) -> DataFrame:
         """(source, lang, tokenizer, n_docs, n_chars, n_tokens) over the committed batches; groups left without documents are gone."""
+        base, _, since = self._live()
+        return self._sums(base + self._read([f"commits/{b}" for b in since])).where("n_docs <> 0")
+
+    def _sums(self, folders: list[str]) -> DataFrame:
         kinds = f"{', '.join(f'{c} string' for c in GROUP)}, {', '.join(f'{c} long' for c in SUMS)}"
-        if not (held := self.batches()):
+        if not folders:
             return self.spark.createDataFrame([], kinds)
-        rows = self.spark.read.schema(kinds).parquet(*map(self._folder, held))
-        return rows.groupBy(*GROUP).agg(*(F.sum(c).alias(c) for c in SUMS)).where("n_docs <> 0")
+        return _summed(self.spark.read.schema(kinds).parquet(*(f"{self.path}/{f}" for f in folders)))
+
+    def compact(self) -> int:
+        """Add the batches since the last base up into a new one; how many they were. Of several at the same time, one takes effect."""
+        base, stale, since = self._live()
+        for b in stale:  # a compaction that was cut off
+            self._put_away(b)
+        if not since:
+            return 0
+        number = max(map(int, self._list("bases")), default=0) + 1
+        folder = self._written(self._sums(base + self._read([f"commits/{b}" for b in since])).where("n_docs <> 0 or n_chars <> 0 or n_tokens <> 0"), "base")
+        if not self._mark(f"bases/{number}", [folder, *since]):
+            self._files.delete(self._path(f"{self.path}/{folder}"), True)
+            return 0
+        for b in since:
+            self._put_away(b)
+        return len(since)
+
+    def _put_away(self, batch: str) -> None:
+        self._files.mkdirs(self._path(f"{self.path}/merged"))
+        self._files.rename(self._path(f"{self.path}/commits/{batch}"), self._path(f"{self.path}/merged/{batch}"))
 
 
+def _summed(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(*GROUP).agg(*(F.sum(c).alias(c) for c in SUMS))
+
 
 def follow(stream: DataFrame, rollup: Rollup, checkpoint: str):
-    """Commit each micro-batch of a stream of signed rows; a batch that is replayed after a failure counts once."""
-    return stream.writeStream.foreachBatch(lambda df, n: rollup.commit(f"stream-{n}", df)).option("checkpointLocation", checkpoint)
+    """Commit each micro-batch of a stream of signed rows; a batch that is replayed after a failure counts once.
+
+    Batches are named after an id that is kept in the checkpoint, so those of another stream, or of
+    one begun anew with a new checkpoint, are batches of their own.
+    """
+    spark = rollup.spark
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{checkpoint.rstrip('/')}/rollup/{uuid.uuid4()}")
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(at.getParent()) or not files.listStatus(at.getParent()):
+        files.create(at, False).close()
+    own = min(s.getPath().getName() for s in files.listStatus(at.getParent()) if not s.getPath().getName().startswith("."))
+    return stream.writeStream.foreachBatch(lambda df, n: rollup.commit(f"{own}-{n}", df)).option("checkpointLocation", checkpoint)
