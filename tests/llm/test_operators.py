@@ -1,5 +1,6 @@
 """Each operator against a plain Python version, on documents with all that may go wrong, and on none."""
 
+import functools
 import hashlib
 import re
 import zlib
@@ -447,7 +448,7 @@ def test_edited_texts_and_likeness(docs, none):
     by_text = defaultdict(set)
     texts = {(i, len(t or "")): t for i, t in rows}
     for r in got:
-        by_text[texts.get((r["doc_id"], r["n_chars"]))].add(tuple(r["sketch"]))
+        by_text[texts.get((r["doc_id"], r["n_chars"]))].add(told(r["sketch"]))
         assert 0 <= r["near"] <= 1 and 0 <= r["next"] <= 1
         a, b = shingles(texts[r["doc_id"], r["n_chars"]]), shingles(r["edited"])
         if len(a) > 100:
@@ -466,6 +467,56 @@ def test_a_lone_document_follows_itself(spark):
     assert r["edited"] == "abcabc" and r["next_sketch"] == r["sketch"]
 
 
+def hashes(t):
+    """Hashes of words, chained as Spark's xxhash64 does: the hash of one value is the seed for the next."""
+    signed = lambda h: h - 2**64 if h >= 2**63 else h
+    chain = lambda *ws: signed(functools.reduce(lambda seed, w: xxhash.xxh64_intdigest(w.to_bytes(8, "little", signed=True), seed), ws, 42))
+    w = [signed(xxhash.xxh64_intdigest(x.encode(), 42)) for x in words(t)]
+    return {chain(*w[i : i + 5]) for i in range(len(w) - 4)} or ({functools.reduce(chain, w, 42)} if w else set())
+
+
+def plain_sketch(t):
+    h = hashes(t)
+    return sorted(x for x in h if x < -(2**63) + 2**64 // sketch.SCALE), min(h, default=None)
+
+
+def likeness(a, b):
+    union = set(a[0]) | set(b[0])
+    return len(set(a[0]) & set(b[0])) / len(union) if union else float(a[1] == b[1])
+
+
+def told(s):
+    return ",".join(f"{x % 2**64:016x}" for x in s[0]) or ("" if s[1] is None else f"~{s[1] % 2**64:016x}")
+
+
+def test_sketches_hash_by_hash(spark, docs):
+    got = docs.select("text", sketch.sketch(common.whole("text")).alias("s")).select("text", "s", sketch.written(F.col("s")).alias("w")).collect()
+    for r in got:
+        assert (r["s"]["kept"], r["s"]["least"]) == plain_sketch(r["text"]) and r["w"] == told(plain_sketch(r["text"]))
+
+
+def test_sketches_of_short_texts(spark):
+    texts = [f"a{i} b{i} c{i} d{i} e{i}" for i in range(12)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", sketch.sketch(F.col("t")).alias("s"))
+    assert all(r["s"]["kept"] == plain_sketch(r["t"])[0] for r in df.collect()) and df.where("size(s.kept) = 0").count() > 3
+    whole = spark.createDataFrame([("\n".join(texts),)], "t string").select(sketch.sketch(F.col("t")).alias("w"))
+    r = df.crossJoin(whole).select(F.sum(sketch.containment(F.col("s"), F.col("w"))).alias("held"), F.sum((F.size("s.kept") > 0).cast("int")).alias("known")).first()
+    assert r["held"] == r["known"] > 0
+    pairs = df.alias("a").crossJoin(df.alias("b")).select((F.col("a.t") == F.col("b.t")).alias("same"), sketch.resemblance(F.col("a.s"), F.col("b.s")).alias("x"))
+    assert all(r["x"] == (1.0 if r["same"] else 0.0) for r in pairs.collect())
+    union = df.agg(sketch.merged(F.col("s")).alias("m")).first()["m"]
+    assert union["kept"] == sorted(x for t in texts for x in plain_sketch(t)[0])
+
+
+def test_parts_by_cuts(spark):
+    import bisect
+
+    for n in (0, 1, 2, 7, 50):
+        cuts = sorted({(i * 37) % 211 for i in range(n)})
+        got = spark.range(0, 212).select("id", sketch._part_of(cuts, F.col("id")).alias("p")).collect()
+        assert all(r["p"] == bisect.bisect_right(cuts, r["id"]) for r in got)
+
+
 def test_sketches_merge(spark):
     a, b = " ".join(f"a{i}" for i in range(500)), " ".join(f"b{i}" for i in range(300))
     df = spark.createDataFrame([(a, b, a + "\n" + b)], "a string, b string, ab string").select(*(sketch.sketch(F.col(c)).alias(c) for c in ("a", "b", "ab")))
