@@ -194,10 +194,33 @@ def test_boundaries_are_optimal():
             return sum(c * (min(b for b in bounds if b >= n) - n) for n, c in zip(lengths, counts))
 
         best = min(padding([*cut, lengths[-1]]) for m in range(min(k, len(lengths))) for cut in itertools.combinations(lengths[:-1], m))
-        found = packing.boundaries(lengths, counts, [n * c for n, c in zip(lengths, counts)], k)
+        found = packing.boundaries(lengths, counts, k)
         assert len(found) <= k and padding(found) == best
 
 
+def plain_padding(lengths, counts, buckets):
+    """The least padding, by trying every begin of every bucket."""
+    n, inf = len(lengths), float("inf")
+    best = [0, *[inf] * n]
+    tops = inf
+    for _ in range(buckets):
+        best = [inf, *(min(best[i] + sum(c * (lengths[j - 1] - x) for x, c in zip(lengths[i:j], counts[i:j])) for i in range(j)) for j in range(1, n + 1))]
+        tops = min(tops, best[n])
+    return tops
+
+
+def test_boundaries_beyond_a_thousand_words_are_optimal():
+    import random
+
+    rng = random.Random(5)
+    for _ in range(6):
+        lengths = sorted(rng.sample(range(0, 20_000), 40))
+        counts = [rng.randint(1, 9) for _ in lengths]
+        k = rng.randint(1, 9)
+        found = packing.boundaries(lengths, counts, k)
+        assert sum(c * (min(b for b in found if b >= n) - n) for n, c in zip(lengths, counts)) == plain_padding(lengths, counts, k)
+
+
 def test_packing(docs, none, monkeypatch):
     monkeypatch.setattr(packing, "SPLIT", 7)
     got = packing.pack(docs, buckets=4, token_budget=1000).collect()
@@ -210,6 +233,9 @@ def test_packing(docs, none, monkeypatch):
         room = max(1, 1000 // held[0]["boundary"])
         assert sorted(r["slot"] for r in held) == list(range(len(held))) and len(held) <= room
         assert len(held) == room or batch == max(b for k, b in batches if k == bucket)
+    lengths = sorted({r["n_words"] for r in got})
+    counts = [sum(r["n_words"] == n for r in got) for n in lengths]
+    assert sum(r["padding"] for r in got) == plain_padding(lengths, counts, 4) and lengths[-1] > 1024
     assert packing.pack(none).count() == 0
 
 
