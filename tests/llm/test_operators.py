@@ -554,23 +554,51 @@ def test_sketches_merge(spark):
 # -- shards ------------------------------------------------------------------------------------------
 
 
-def test_shards(docs, none):
-    got = sharding.shards(docs, 4).collect()
+def plain_shards(rows_, n):
+    """Shard of each row, or None where the group is split: every group of equal texts, largest first, by the dot product."""
+    groups = defaultdict(lambda: [0, 0, 0])
+    for i, t in rows_:
+        g = groups[t or ""]
+        g[0], g[1], g[2] = g[0] + len((t or "").encode()) + 1, g[1] + len(words(t)), g[2] + 1
+    total = [sum(g[k] for g in groups.values()) for k in range(3)]
+    scaled = {t: [n * x / y if y else 0 for x, y in zip(g, total)] for t, g in groups.items()}
+    return groups, scaled
+
+
+@pytest.mark.parametrize("block", [1 << 14, 16])
+def test_shards(docs, none, block):
+    got = sharding.shards(docs, 4, block=block).collect()
     assert Counter((r["doc_id"], r["size"], r["n_tokens"], r["text_crc32"]) for r in got) == Counter((i, len((t or "").encode()) + 1, len(words(t)), zlib.crc32((t or "").encode())) for i, t in source(docs))
     for s in range(4):
         held = [r for r in got if r["shard"] == s]
         assert sorted(r["slot"] for r in held) == list(range(len(held)))
+    _, scaled = plain_shards(source(docs), 4)
+    fits = {zlib.crc32(t.encode()) for t, v in scaled.items() if max(v) <= 1}
     where = defaultdict(set)
     for r in got:
-        if r["n_tokens"] > 1 and r["size"] < 3000:
-            where[r["text_crc32"]].add(r["shard"])
-    assert all(len(s) == 1 for s in where.values())
+        where[r["text_crc32"]].add(r["shard"])
+    assert all(len(where[c]) == 1 for c in fits)
+    assert Counter(map(tuple, got)) == Counter(map(tuple, sharding.shards(docs.repartition(3), 4, block=block).collect()))
     assert sharding.shards(none, 4).count() == 0
 
 
-def test_a_group_with_a_third_of_the_rows_is_split(spark):
+def test_groups_go_where_the_dot_product_is_highest(spark):
+    rows = [(i, "w " * (1 + i % 90 * 7 % 23) + "x" * (i % 90 * 5 + 1)) for i in range(130)]
+    got = {r["doc_id"]: r["shard"] for r in sharding.shards(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()}
+    groups, scaled = plain_shards(rows, 4)
+    residual, want = [[1.0] * 3 for _ in range(4)], {}
+    sizes = lambda t: (-max(scaled[t]), -sum(scaled[t]))
+    assert len(set(map(sizes, groups))) == len(groups)  # no ties
+    for t in sorted(groups, key=sizes):
+        want[t] = max(range(4), key=lambda s: (round(sum(w * a * b for w, a, b in zip(sharding.WEIGHTS, residual[s], scaled[t])), 9), -s))
+        residual[want[t]] = [a - b for a, b in zip(residual[want[t]], scaled[t])]
+    assert got == {i: want[t] for i, t in rows}
+
+
+@pytest.mark.parametrize("block", [1 << 14, 100])
+def test_a_group_with_a_third_of_the_rows_is_split(spark, block):
     rows = [(i, "the same text again " * 8) for i in range(700)] + [(1000 + i, f"text number {i} " * (5 + i % 9)) for i in range(1400)]
-    got = sharding.shards(spark.createDataFrame(rows, "doc_id long, text string"), 16)
+    got = sharding.shards(spark.createDataFrame(rows, "doc_id long, text string"), 16, block=block)
     sums = got.groupBy("shard").agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect()
     assert len(sums) == 16 and max(r["b"] for r in sums) < 1.1 * min(r["b"] for r in sums)
 
