@@ -1,10 +1,13 @@
-"""Near duplicates by the Jaccard similarity of their word shingles, exactly checked.
-
-Candidates are texts that agree in a band of MinHash values: with 32 bands of 5 values two texts of
-similarity 0.8 share none with a probability of 3 in a million, and more alike ones more rarely
-still. Each candidate pair is then decided by the shingles themselves. So that a crowded band costs
-no square, its texts are first compared with one of them, then with another; only what is not in
-one component by then is compared pair by pair, and all of it is.
+"""Near duplicates by the Jaccard similarity of their word shingles, exactly checked: the pipeline's use of operator 7.
+
+Texts that operator 7's popcount grid links, by SimHash over the same shingles, are the first
+candidates: each is compared with the least of its component, so large groups are joined at once.
+But two texts of similarity 0.8 differ in about ten of 64 bits, far beyond the distance that the
+grid finds, so the others are those that agree in a band of MinHash values: with 32 bands of 5
+values two texts of similarity 0.8 share none with a probability of 3 in a million, and more alike
+ones more rarely still. Each candidate pair is then decided by the shingles themselves. So that a
+crowded band costs no square, its texts are first compared with one of them, then with another;
+only what is not in one component by then is compared pair by pair, and all of it is.
 """
 
 from __future__ import annotations
@@ -14,10 +17,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftgraph.llm import simhash
 from weftgraph.llm.common import connected_components, saved, whole
 
 SHINGLE = 5
@@ -76,15 +80,23 @@ def _bytes(column: pa.Array) -> pa.Array:
 
 
 def _signed(texts: DataFrame) -> DataFrame:
-    """(key, n, bands) from (key, text)."""
+    """(key, n, fp, bands) from (key, text): how many shingles, SimHash, bands of MinHash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingles(x.as_py()) for x in _bytes(batch.column(1))]
+            raw = [x.as_py() for x in _bytes(batch.column(1))]
+            found = [shingles(x) for x in raw]
+            fps = np.fromiter((simhash.fingerprint(x, SHINGLE) for x in raw), np.uint64, len(raw)).view(np.int64)
             values = pa.array([bands(x).view(np.int64) for x in found], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in found], pa.int64()), values], names=["key", "n", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array(fps), values], names=["key", "n", "fp", "bands"])
+
+    return texts.mapInArrow(run, "key binary, n long, fp long, bands array<bigint>")
+
 
-    return texts.mapInArrow(run, "key binary, n long, bands array<bigint>")
+def _seeds(signed: DataFrame) -> DataFrame:
+    """Pairs (a, b) of keys, a < b: each text of a component of operator 7 and the least of them."""
+    found = signed.select("fp", F.col("key").alias("b")).join(simhash.components(signed.select(F.col("key").alias("id"), "fp")), "fp")
+    return found.where("b <> component_id").select(F.col("component_id").alias("a"), "b")
 
 
 def _alike(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -115,10 +127,12 @@ def components(texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
     cells = signed.select("key", "n", F.explode("bands").alias("cell"))
     crowded = cells.groupBy("cell").agg(F.min("key").alias("low"), F.max("key").alias("top")).where("low < top").select("cell")
     members = saved(cells.join(crowded, "cell"))
-    named = saved(_once(texts.join(members.select("key").distinct(), "key", "left_semi")))
+    tested = saved(_seeds(signed))
+    asked = members.select("key").union(tested.select("a")).union(tested.select("b")).distinct()
+    named = saved(_once(texts.join(asked, "key", "left_semi")))
     fits = (F.col("n_a") >= least * F.col("n_b") - 1e-6) & (F.col("n_b") >= least * F.col("n_a") - 1e-6)
-    tested = edges = None
-    now = members.withColumn("component", F.col("key"))
+    edges = saved(_alike(tested, named, least))
+    now = saved(_components(members, edges))
     for turn in range(STARS + 1):
         mixed = now.groupBy("cell").agg(F.min("component").alias("low"), F.max("component").alias("top"), F.min(F.struct(F.xxhash64("key", F.lit(turn)).alias("h"), F.struct("key", "n", "component").alias("x")))["x"].alias("x")).where("low < top")
         a = now.select("cell", F.col("key").alias("k_a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
@@ -130,12 +144,8 @@ def components(texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
         if turn == STARS:
             near = near.where("k_a < k_b")
         pairs = near.select(F.least("k_a", "k_b").alias("a"), F.greatest("k_a", "k_b").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = saved(pairs)
-        found = saved(_alike(pairs, named, least))
-        tested = pairs if tested is None else tested.union(pairs)
-        edges = found if edges is None else edges.union(found)
+        pairs = saved(pairs.join(tested, ["a", "b"], "left_anti"))
+        edges, tested = edges.union(saved(_alike(pairs, named, least))), tested.union(pairs)
         now = saved(_components(members, edges)) if turn < STARS else now
     return _components(signed.select("key"), edges)
 
@@ -145,6 +155,6 @@ def _once(texts: DataFrame) -> DataFrame:
     return texts.withColumn("__n", F.row_number().over(Window.partitionBy("key").orderBy("key"))).where("__n = 1").drop("__n")
 
 
-def keyed(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds __key, which is the same for equal texts; a null text is as an empty one."""
-    return docs.withColumn("__key", F.unhex(F.md5(whole(F.col(f"`{text_col}`")).cast("binary"))))
+def key(text: Column) -> Column:
+    """The same for equal texts; a null text is as an empty one."""
+    return F.unhex(F.md5(whole(text).cast("binary")))
