@@ -20,7 +20,7 @@ STAGES = [
     ("packing", stages.pack),
 ]
 
-#: The rules' EM, SimHash bits and the random rounding have no SQL form; tests compare with a brute-force run.
+#: The rules' EM, near duplicates and the random rounding have no SQL form; tests compare with plain versions.
 ORACLE_SQL = None
 
 
