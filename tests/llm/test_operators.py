@@ -165,6 +165,17 @@ def test_licenses(docs, none):
         ("Creative Commons Attribution-NonCommercial-ShareAlike", ["cc-by-nc-sa"]),
         ("distributed under the terms of the Apache License 2.0", ["apache", "apache-2.0"]),
         ("summit licenses; a mit licensed x", []),
+        ("SPDX-License-Identifier: MIT", ["mit"]),
+        ("SPDX-License-Identifier: GPL-2.0-or-later", ["gpl-2.0"]),
+        ("This code is licensed under the GPL.", ["gpl"]),
+        ("It is released under an MIT license or so", ["mit"]),
+        ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal", ["mit"]),
+        ("Redistribution and use in source and binary forms, with or without\n// modification, are permitted provided that", ["bsd"]),
+        ("Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived", ["bsd-3-clause"]),
+        ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.", ["0bsd"]),
+        ("Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice", ["isc"]),
+        ("see https://www.apache.org/licenses/LICENSE-2.0.txt", ["apache-2.0"]),
+        ("https://creativecommons.org/licenses/by-nc-sa/4.0/", ["cc-by-nc-sa"]),
     ],
 )
 def test_license_rules(text, labels):
@@ -173,6 +184,18 @@ def test_license_rules(text, labels):
 
 def test_every_rule_is_reached_through_its_keywords():
     assert len(licenses.rules()) > 300 and all(all(k and len(k) > 2 or r.priority == 4 for k in r.keywords) for r in licenses.rules())
+    plain = lambda x: re.sub(r" +", " ", re.sub(r"\\S[+*]?", "any", re.sub(r"\\d", "3", re.sub(r"(?<=.)\?", "", re.sub(r"\[(.)[^]]*\]", r"\1", re.sub(r"\(\?!.*?\)|\{[^}]*\}", "", x)))))).strip()
+    first = lambda x: plain(re.sub(r"\(\?:([^()|]*)[^()]*\)[*?]?", r"\1", x).split("|")[0])
+    for label, pattern in licenses.BODIES + licenses.ADDRESSES:
+        assert label in licenses.scan(f"x {first(pattern)} y")["labels"], (label, first(pattern))
+
+
+def test_many_places_cost_no_square():
+    import time
+
+    began = time.time()
+    r = licenses.scan("mit license " * 90_000)
+    assert r["n_base"] == 90_000 and r["last_word"] == 179_998 and time.time() - began < 4
     inner = [(1, 10, 20, "short"), (1, 5, 30, "long"), (3, 8, 12, "prior"), (1, 40, 50, "alone"), (2, 40, 50, "twin")]
     assert {x[3] for x in licenses._resolve(inner)} == {"prior", "long", "twin"}
 
