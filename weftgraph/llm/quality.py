@@ -1,10 +1,12 @@
 """Quality rules as weak supervision: rules vote or abstain, EM learns how far each can be believed.
 
-Every rule votes 1 (good), -1 (bad) or 0 (abstains). Documents with the same votes are alike to the
-model, so one distributed count by vote pattern - at most 3 ** rules rows, 2,187 for the seven here -
-is all that the expectation-maximisation reads. It estimates how common each rule's fault is, how
-often each rule catches it and how often it is wrong; a document's posterior is then a product of
-odds, which is a plain column expression. All of it is built-in functions, evaluated in the JVM.
+Every rule votes 1 (good), -1 (bad) or 0 (abstains), and several rules look for a fault of the same
+kind, each in its own way. Documents with the same votes are alike to the model, so one distributed
+count by vote pattern, whose number is bounded by the rules and not by the corpus, is all that the
+expectation-maximisation reads. Where rules of a kind agree it learns how common the fault is and how
+often each rule catches it; where a rule speaks without the others of its kind, how often it is
+wrong. A document's posterior is then a product of odds, which is a plain column expression. All of
+it is built-in functions, evaluated in the JVM.
 """
 
 from __future__ import annotations
@@ -18,8 +20,10 @@ from pyspark.sql import functions as F
 from weftgraph.llm.common import let, saved, whole, words
 
 WINDOW = 8
-#: Documents that what is expected of the rules weighs as much as.
-PRIOR = 100
+#: Documents that what is expected of the rules weighs as much as, and of the share of faulty ones.
+PRIOR = 20
+#: Share of the faults of its kind that a rule is held to see at least: what one rule alone sees, much or little, is no such fault.
+SEEN = 0.5
 
 
 def _covered(windows: Column) -> Column:
@@ -50,7 +54,7 @@ def measures(text: Column) -> Column:
     """Struct of the measures the rules read; a null text has the measures of an empty one."""
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.trim(x, F.lit(" \t\x0b\f\r")) != "")
     counted = let(lines, lambda x: F.struct(F.size(x).alias("n"), F.size(F.array_distinct(x)).alias("d")))
-    hashed = lambda h: F.struct(repeat_words(h).alias("again"), echoes(h).alias("echoes"))
+    hashed = lambda h: F.struct(repeat_words(h).alias("again"), echoes(h).alias("echoes"), F.size(F.array_distinct(h)).alias("kinds"))
     of_words = let(words(text), lambda w: F.struct(F.size(w).alias("n"), F.char_length(F.array_join(w, "")).alias("chars"), let(F.transform(w, lambda x: F.xxhash64(x)), hashed).alias("h")))
     return let(
         F.struct(of_words.alias("w"), counted.alias("l")),
@@ -61,9 +65,13 @@ def measures(text: Column) -> Column:
             (x["l"]["n"] - x["l"]["d"]).cast("long").alias("n_dup_lines"),
             x["w"]["h"]["again"].cast("long").alias("n_repeat_words"),
             x["w"]["h"]["echoes"].cast("long").alias("n_echoes"),
+            x["w"]["h"]["kinds"].cast("long").alias("n_kinds"),
             x["l"]["n"].cast("long").alias("n_lines"),
             F.regexp_count(text, F.lit(r"\p{Lu}")).cast("long").alias("n_upper"),
+            F.regexp_count(text, F.lit(r"\p{L}")).cast("long").alias("n_letters"),
             F.regexp_count(text, F.lit(r"[!?]")).cast("long").alias("n_shouts"),
+            F.regexp_count(text, F.lit(r"[.!?…。؟।]")).cast("long").alias("n_stops"),
+            F.regexp_count(text, F.lit(r"[^\p{L}\p{M}\p{N}\s]{2,}+|(?<!\S)[^\p{L}\p{M}\p{N}\s]++(?!\S)")).cast("long").alias("n_marks"),
         ),
     )
 
@@ -75,11 +83,12 @@ def base_failed() -> Column:
 
 @dataclass(frozen=True)
 class Rule:
-    """Votes -1 where `bad` holds, else 1 where `good` holds, else abstains; both are SQL over the measures."""
+    """Votes -1 where `bad` holds, else 1 where `good` holds, else abstains; both are SQL over the measures. Rules of one `kind` look for the same fault; without one it is the rule's own."""
 
     name: str
     bad: str
     good: str = "false"
+    kind: str = ""
 
     def vote(self) -> Column:
         return F.when(F.expr(self.bad), -1).when(F.expr(self.good), 1).otherwise(0)
@@ -87,23 +96,36 @@ class Rule:
 
 #: Most rules know one fault and abstain where they don't see it.
 RULES = (
-    Rule("length", "n_words < 20", "n_words >= 40"),
-    Rule("word_length", "n_words > 0 and (word_chars < 2 * n_words or word_chars > 14 * n_words)", "word_chars between 3 * n_words and 10 * n_words"),
-    Rule("symbols", "10 * n_symbols > n_words"),
-    Rule("repeated_windows", "100 * n_repeat_words > 30 * n_words"),
-    Rule("echoes", "100 * n_echoes > 30 * n_words"),
-    Rule("repeated_lines", "n_dup_lines >= 3 and 100 * n_dup_lines > 30 * n_lines"),
-    Rule("shouting", "2 * n_upper > word_chars or 5 * n_shouts > n_words"),
+    Rule("length", "n_words < 20", "n_words >= 40", "fragment"),
+    Rule("no_sentence", "n_stops = 0", kind="fragment"),
+    Rule("word_length", "n_words > 0 and (word_chars < 2 * n_words or word_chars > 14 * n_words)", "word_chars between 3 * n_words and 10 * n_words", "no_words"),
+    Rule("letters", "2 * n_letters < word_chars", kind="no_words"),
+    Rule("symbols", "10 * n_symbols > n_words", kind="symbols"),
+    Rule("marks", "5 * n_marks > n_words", kind="symbols"),
+    Rule("repeated_windows", "100 * n_repeat_words > 30 * n_words", kind="repetition"),
+    Rule("echoes", "100 * n_echoes > 30 * n_words", kind="repetition"),
+    Rule("few_kinds", "5 * n_kinds < 2 * n_words", kind="repetition"),
+    Rule("repeated_lines", "n_dup_lines >= 3 and 100 * n_dup_lines > 30 * n_lines", kind="repetition"),
+    Rule("upper", "2 * n_upper > n_letters and n_letters > 0", kind="shouting"),
+    Rule("shouts", "5 * n_shouts > n_words", kind="shouting"),
 )
 
 
+def kinds_of(rules: tuple[Rule, ...]) -> dict[str, list[int]]:
+    """The rules, by number, of each kind of fault."""
+    out: dict[str, list[int]] = {}
+    for r, rule in enumerate(rules):
+        out.setdefault(rule.kind or rule.name, []).append(r)
+    return out
+
+
 @dataclass(frozen=True)
 class Model:
-    """A document is good or has a fault of the kind that one of the rules knows.
+    """A document is good or has a fault of one kind.
 
-    `kinds` are the shares of the faults, by rule; `caught` is how often a rule speaks against its
-    own fault and `wrong` against anything else; `praise` is how often it votes 1, if not -1, for
-    good and for bad documents. `right` is the share of a rule's votes against that were right.
+    `kinds` are the shares of the faults, by kind; `caught` is how often a rule speaks against a
+    fault of its kind and `wrong` against anything else; `praise` is how often it votes 1, if not
+    -1, for good and for bad documents. `right` is the share of a rule's votes against that were right.
     """
 
     good: float
@@ -113,10 +135,9 @@ class Model:
     praise: tuple[tuple[float, float], ...]
     right: tuple[float, ...] = ()
 
-    def fault(self, r: int, vote: int) -> float:
-        """Odds that the document has the fault of rule r rather than none, given the rule's vote."""
-        seen, unseen = self.caught[r] / self.wrong[r], (1 - self.caught[r]) / (1 - self.wrong[r])
-        return self.kinds[r] / self.good * (seen if vote == -1 else unseen)
+    def told(self, r: int, vote: int) -> float:
+        """How much more often rule r votes so on a fault of its kind than on anything else."""
+        return self.caught[r] / self.wrong[r] if vote == -1 else (1 - self.caught[r]) / (1 - self.wrong[r])
 
     def doubt(self, r: int, vote: int) -> float:
         """How much more often bad documents than good ones get this vote where it isn't against them."""
@@ -125,11 +146,16 @@ class Model:
 
     def posterior(self, rules: tuple[Rule, ...] | None = None) -> Column:
         """Probability that a document is good, over its vote columns."""
+        rules = rules or RULES
+        vote = lambda r: F.col(f"vote_{rules[r].name}")
         odds, factor = F.lit(0.0), F.lit(1.0)
-        for r, rule in enumerate(rules or RULES):
-            vote = F.col(f"vote_{rule.name}")
-            odds = odds + F.when(vote == -1, self.fault(r, -1)).otherwise(self.fault(r, 0))
-            factor = factor * F.when(vote == -1, 1.0).when(vote == 1, self.doubt(r, 1)).otherwise(self.doubt(r, 0))
+        for share, held in zip(self.kinds, kinds_of(rules).values()):
+            of_kind = F.lit(share / self.good)
+            for r in held:
+                of_kind = of_kind * F.when(vote(r) == -1, self.told(r, -1)).otherwise(self.told(r, 0))
+            odds = odds + of_kind
+        for r in range(len(rules)):
+            factor = factor * F.when(vote(r) == -1, 1.0).when(vote(r) == 1, self.doubt(r, 1)).otherwise(self.doubt(r, 0))
         return 1 / (1 + odds * factor)
 
 
@@ -138,55 +164,63 @@ def votes(measured: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return measured.withColumns({f"vote_{r.name}": r.vote() for r in rules})
 
 
-def fit(voted: DataFrame, rules: tuple[Rule, ...] = RULES, rounds: int = 50) -> Model:
+def fit(voted: DataFrame, rules: tuple[Rule, ...] = RULES, rounds: int = 200) -> Model:
     """EM over the counts of vote patterns, of which there are at most 3 ** len(rules).
 
     What is expected of any rule stands beside the data as a fixed number of documents, so with many
-    documents the data decide: PRIOR of them, a fifth with a fault, of which the rule sees nine in
-    ten, and nine in ten of a rule's votes against are right. How bad documents are praised is read
-    where two rules agree, how good ones are where none speaks against. A rule that mostly speaks
-    alone, against documents praised as good ones are, loses its say; where praise tells nothing,
-    the expectation stands. No documents: it is the model.
+    documents the data decide: PRIOR of them, a fifth with a fault, of which a rule of its kind sees
+    nine in ten, and nine in ten of a rule's votes against are right. How bad documents are praised
+    is read where two rules agree, how good ones are where none speaks against. A rule is held to see
+SEEN of the faults of its kind at least, or a habit of the whole corpus that one rule is against,
+such as a script without full stops, would be a fault of that kind; and at the outset what it says
+without the others of its kind is held to be wrong. So a rule that
+    mostly speaks without the others of its kind, or against documents praised as good ones are,
+    loses its say; where nothing tells, the expectation stands. No documents: it is the model.
     """
-    names = [f"vote_{r.name}" for r in rules]
+    names, kinds = [f"vote_{r.name}" for r in rules], kinds_of(rules)
     table = sorted((tuple(row[n] for n in names), row["count"]) for row in voted.groupBy(*names).count().collect())
     total, each = sum(n for _, n in table), range(len(rules))
+    kind = {r: k for k, held in enumerate(kinds.values()) for r in held}
     bipolar = [any(p[r] == 1 for p, _ in table) for r in each]
-    model = Model(0.8, (0.2 / len(rules),) * len(rules), (0.9,) * len(rules), (0.002,) * len(rules), tuple((0.8, 0.6) if b else (0.5, 0.5) for b in bipolar))
+    model = Model(0.8, (0.2 / len(kinds),) * len(kinds), (0.9,) * len(rules), (0.002,) * len(rules), tuple((0.8, 0.6) if b else (0.5, 0.5) for b in bipolar))
     praise = []
     for r in each:
         rate = lambda held, mean, weight: (sum(n for p, n in held if p[r] == 1) + mean * weight) / (sum(n for p, n in held if p[r] != -1) + weight)
         of_good = rate([x for x in table if -1 not in x[0]], 0.8, 1)
-        praise.append((of_good, rate([x for x in table if x[0].count(-1) > 1], 0.75 * of_good, PRIOR / 5)) if bipolar[r] else (0.5, 0.5))
-    model = replace(model, praise=tuple(praise))
-    fault = 0.2 * PRIOR / len(rules)
+        of_bad = rate([x for x in table if x[0].count(-1) > 1], 0.75 * of_good, PRIOR / 5)
+        praise.append((of_good, min(of_good, of_bad)) if bipolar[r] else (0.5, 0.5))  # praise never tells against
+    mates = {r: [x for x in held if x != r] for held in kinds.values() for r in held}
+    alone = [sum(n for p, n in table if p[r] == -1 and all(p[x] != -1 for x in mates[r])) if mates[r] else 0 for r in each]
+    model = replace(model, praise=tuple(praise), wrong=tuple((a + 0.002 * PRIOR) / (total + PRIOR) for a in alone) if table else model.wrong)
+    fault = 0.2 * PRIOR / len(kinds)
     before = None
     for _ in range(rounds if table else 0):
         post = []
         for p, _ in table:
             factor = math.prod(model.doubt(r, p[r]) for r in each)
-            odds = [factor * model.fault(r, p[r]) for r in each]
+            odds = [factor * share / model.good * math.prod(model.told(r, p[r]) for r in held) for share, held in zip(model.kinds, kinds.values())]
             post.append((1 / (1 + sum(odds)), [o / (1 + sum(odds)) for o in odds]))
         if before and max(abs(a[0] - b[0]) for a, b in zip(post, before)) < 1e-9:
             break
         before = post
         rows = [(p, n, g, k) for (p, n), (g, k) in zip(table, post)]
-        mass = [sum(n * k[r] for _, n, _, k in rows) for r in each]
+        mass = [sum(n * f[k] for _, n, _, f in rows) for k in range(len(kinds))]
         good = (sum(n * g for _, n, g, _ in rows) + 0.8 * PRIOR) / (total + PRIOR)
-        kinds = tuple((mass[r] + fault) / (total + PRIOR) for r in each)
-        caught = tuple((sum(n * k[r] for p, n, _, k in rows if p[r] == -1) + 0.9 * fault) / (mass[r] + fault) for r in each)
-        wrong = tuple((sum(n * (1 - k[r]) for p, n, _, k in rows if p[r] == -1) + 0.1 * fault) / (total - mass[r] + PRIOR - fault) for r in each)
+        shares = tuple((m + fault) / (total + PRIOR) for m in mass)
+        caught = tuple(max(SEEN, (sum(n * f[kind[r]] for p, n, _, f in rows if p[r] == -1) + 0.9 * fault) / (mass[kind[r]] + fault)) for r in each)
+        wrong = tuple((sum(n * (1 - f[kind[r]]) for p, n, _, f in rows if p[r] == -1) + 0.1 * fault) / (total - mass[kind[r]] + PRIOR - fault) for r in each)
         against = [sum(n for p, n, _, _ in rows if p[r] == -1) for r in each]
         right = tuple(sum(n * (1 - g) for p, n, g, _ in rows if p[r] == -1) / against[r] if against[r] else 1.0 for r in each)
-        model = Model(good, kinds, caught, wrong, model.praise, right)
+        model = Model(good, shares, caught, wrong, model.praise, right)
     return model
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """A row for each document: id, measures, votes, base_failed, quality (posterior) and kept.
 
-    Null texts count as empty ones, which fail. Repeated rows each count and each get a row. An
-    empty table gives no rows. Other columns of `docs` are not read, whatever their names.
+    Null texts count as empty ones, which fail; very long ones are measured whole. Repeated rows each
+    count and each get a row. A posterior of exactly the threshold keeps. An empty table gives no
+    rows. Other columns of `docs` are not read, whatever their names.
     """
     measured = docs.select(F.col(id_col).alias("id"), measures(whole(text_col)).alias("m"))
     voted = saved(votes(measured.select("id", "m.*")))
