@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -92,14 +93,35 @@ def settle_block(p: list[float], size: list[int], rng: random.Random) -> int:
     return held
 
 
-def repaired(p: list[float], before: list[float], size: list[int]) -> list[float]:
-    """Decisions with some turned round, larger documents first, where that brings the words nearer to what the fractions called for."""
-    out, error = list(p), sum((a - b) * w for a, b, w in zip(p, before, size))
-    for i in sorted(range(len(p)), key=lambda i: (-size[i], i)):
-        turn = (1 - 2 * out[i]) * size[i]
-        if abs(error + turn) < abs(error) - 1e-9:
+def _error(p: list[float], before: list[float], size: list[int]) -> float:
+    return float(((np.array(p) - np.array(before)) * np.array(size, float)).sum())
+
+
+def repaired(p: list[float], before: list[float], size: list[int], stays: int = -1) -> list[float]:
+    """Decisions with some turned round, not that of `stays`, where that brings the words nearer to what the fractions called for.
+
+    First one at a time, larger documents first, then the pair that comes nearest, as long as it helps.
+    """
+    out, sizes = np.array(p), np.array(size, float)
+    error = _error(p, before, size)
+    for i in np.argsort(-sizes, kind="stable").tolist():
+        turn = (1 - 2 * out[i]) * sizes[i]
+        if i != stays and abs(error + turn) < abs(error) - 1e-9:
             out[i], error = 1 - out[i], error + turn
-    return out
+    while len(out) > 1:
+        turns = (1 - 2 * out) * sizes
+        order = np.argsort(turns, kind="stable")
+        held = turns[order]
+        other = np.searchsorted(held, -error - held)  # the partner that would settle it lies here or one before
+        i, j = np.tile(np.arange(len(held)), 2), np.clip(np.concatenate((other, other - 1)), 0, len(held) - 1)
+        left = np.where((i == j) | (order[i] == stays) | (order[j] == stays), np.inf, np.abs(error + held[i] + held[j]))
+        best = int(np.argmin(left))
+        if left[best] >= abs(error) - 1e-9:
+            break
+        pair = order[[i[best], j[best]]]
+        error += float(turns[pair].sum())
+        out[pair] = 1 - out[pair]
+    return out.tolist()
 
 
 def _level(rows: DataFrame, block: Column, seed: int, last: bool) -> DataFrame:
@@ -110,9 +132,15 @@ def _level(rows: DataFrame, block: Column, seed: int, last: bool) -> DataFrame:
         p = group["p"].tolist()
         rng = random.Random(f"{seed}/{group['source'].iloc[0]}/{group['block'].iloc[0]}/{len(p)}")
         held = settle_block(p, group["size"].tolist(), rng)
-        if held >= 0 and last:
-            p[held], held = float(rng.random() < p[held]), -1
-            p = repaired(p, group["p"].tolist(), group["size"].tolist())
+        if last:
+            if held >= 0:
+                p[held], held = float(rng.random() < p[held]), -1
+            # both decisions on the largest document are tried; what is drawn holds if the other leaves as much
+            size, tried = group["size"].tolist(), []
+            most = max(range(len(p)), key=lambda i: size[i])
+            for x in (p[most], 1 - p[most]):
+                tried.append(repaired([*p[:most], x, *p[most + 1 :]], group["p"].tolist(), size, most))
+            p = min(tried, key=lambda x: abs(_error(x, group["p"], size)))
         return group.assign(p=p, open=[i == held for i in range(len(p))])
 
     rows = rows.withColumn("block", block)
