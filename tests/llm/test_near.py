@@ -3,8 +3,9 @@
 import random
 from collections import Counter
 
+import numpy as np
 from test_operators import shingles
-from weftgraph.llm import stages
+from weftgraph.llm import minhash, stages
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -41,3 +42,33 @@ def test_rows_not_ids_are_decided(spark):
     want = [(1, text("a")), (5, text("b")), (7, text("c")), (7, text("d")), (None, text("e")), (None, text("f")), (8, text("g"))]
     assert Counter((r["doc_id"], r["text"]) for r in got if r["text"]) == Counter(want)
     assert sum(not r["text"] for r in got) == 1
+
+
+def test_a_crowd_of_near_copies(spark):
+    rng = random.Random(2)
+    base = [f"w{rng.randrange(400)}" for _ in range(120)]
+    texts = []
+    for _ in range(150):
+        t = list(base)
+        for _ in range(rng.randint(1, 7)):
+            t[rng.randrange(len(t))] = f"w{rng.randrange(400)}"
+        texts.append(" ".join(t))
+    texts = sorted(set(texts))
+    sets = [shingles(t) for t in texts]
+    parent = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                parent = [parent[b] if p == parent[a] else p for p in parent]
+    got = stages.near_dedup(spark, frame(spark, list(enumerate(texts))), "").collect()
+    want = {min(i for i, q in enumerate(parent) if q == p) for p in parent}
+    assert {r["doc_id"] for r in got} == want and 1 < len(want) < len(texts)
+
+
+def test_parity_is_a_lower_bound():
+    rng = random.Random(4)
+    for _ in range(50):
+        a, b = (np.unique(np.array([rng.getrandbits(64) for _ in range(rng.randint(0, 300))], np.uint64)) for _ in "ab")
+        b = np.unique(np.concatenate((a[: len(a) // 2], b)))
+        differ = int(np.bitwise_count((minhash.parity(a) ^ minhash.parity(b)).view(np.uint64)).sum())
+        assert differ <= len(np.setxor1d(a, b)) and (len(a) > 0 or differ <= len(b))

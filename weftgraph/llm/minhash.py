@@ -6,8 +6,9 @@ But two texts of similarity 0.8 differ in about ten of 64 bits, far beyond the d
 grid finds, so the others are those that agree in a band of MinHash values: with 32 bands of 5
 values two texts of similarity 0.8 share none with a probability of 3 in a million, and more alike
 ones more rarely still. Each candidate pair is then decided by the shingles themselves. So that a
-crowded band costs no square, its texts are first compared with one of them, then with another;
-only what is not in one component by then is compared pair by pair, and all of it is.
+crowded band costs no square of comparisons, its texts are first compared with the one that meets
+most others, which joins most; of what is not in one component by then all pairs are looked at, but
+only those are compared whose shingles can be that much alike, by a lower bound on their difference.
 """
 
 from __future__ import annotations
@@ -29,8 +30,10 @@ SIMILARITY = 0.8
 BANDS, VALUES = 32, 5
 #: Shingles hashed at once, which bounds the memory for a very long text.
 BLOCK = 1 << 12
-#: Comparisons with a single text of each band before those of all that are left.
-STARS = 2
+#: Comparisons with a single text of each band before the pairs of all that are left.
+STARS = 1
+#: Segments of the hash range for the lower bound on what two texts differ in.
+SEGMENTS = 1024
 
 _DRAWN = np.random.default_rng(42)
 _FACTORS = _DRAWN.integers(0, 2**63, BANDS * VALUES, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -112,12 +115,46 @@ def _alike(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, T.StructType([T.StructField(c, T.BinaryType()) for c in "ab"]))
 
 
+def parity(found: np.ndarray) -> np.ndarray:
+    """Whether the number of shingles in each of SEGMENTS segments of the hash range is odd, as bits of longs.
+
+    Each shingle that only one of two texts holds turns one bit round, so the bits that differ are
+    never more than these shingles, and seldom much fewer: the lower bound of operator 7, for sets.
+    """
+    odd = np.bincount((found & np.uint64(SEGMENTS - 1)).astype(np.int64), minlength=SEGMENTS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def _with_parity(members: DataFrame, named: DataFrame) -> DataFrame:
+    """`members` with the parity of their texts, in longs p0, p1, ..."""
+    longs = [f"p{i}" for i in range(SEGMENTS // 64)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = np.array([parity(shingles(x.as_py())) for x in _bytes(batch.column(1))], np.int64).reshape(-1, len(longs))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in table.T)], names=["key", *longs])
+
+    held = named.join(members.select("key").distinct(), "key", "left_semi").mapInArrow(run, f"key binary, {', '.join(f'{x} long' for x in longs)}")
+    return members.join(held, "key")
+
+
 def _components(members: DataFrame, edges: DataFrame) -> DataFrame:
     """`members` with the component each key has over the edges."""
     found = connected_components(edges).withColumnRenamed("node", "key")
     return members.join(found, "key", "left").withColumn("component", F.coalesce("component", "key"))
 
 
+def _mixed_cells(now: DataFrame) -> DataFrame:
+    """Members of the cells that hold several components."""
+    mixed = now.groupBy("cell").agg(F.min("component").alias("low"), F.max("component").alias("top")).where("low < top").select("cell")
+    return now.join(mixed, "cell")
+
+
+def _sides(now: DataFrame, side: str) -> DataFrame:
+    short = {"key": "k", "n": "n", "component": "c"}
+    return now.drop("met").withColumnsRenamed({c: f"{short.get(c, c)}_{side}" for c in now.columns if c not in ("cell", "met")})
+
+
 def components(texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """(key, component) for each key of `texts`, which has (key binary, text), a key for each text, in any number of rows.
 
@@ -125,28 +162,31 @@ def components(texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """
     signed = saved(_signed(_once(texts)))
     cells = signed.select("key", "n", F.explode("bands").alias("cell"))
-    crowded = cells.groupBy("cell").agg(F.min("key").alias("low"), F.max("key").alias("top")).where("low < top").select("cell")
-    members = saved(cells.join(crowded, "cell"))
+    crowded = cells.groupBy("cell").agg(F.count("*").alias("size")).where("size > 1")
+    members = cells.join(crowded, "cell")
+    met = members.groupBy("key").agg(F.sum("size").alias("met"))
+    members = saved(members.drop("size").join(met, "key"))
     tested = saved(_seeds(signed))
     asked = members.select("key").union(tested.select("a")).union(tested.select("b")).distinct()
     named = saved(_once(texts.join(asked, "key", "left_semi")))
     fits = (F.col("n_a") >= least * F.col("n_b") - 1e-6) & (F.col("n_b") >= least * F.col("n_a") - 1e-6)
     edges = saved(_alike(tested, named, least))
     now = saved(_components(members, edges))
-    for turn in range(STARS + 1):
-        mixed = now.groupBy("cell").agg(F.min("component").alias("low"), F.max("component").alias("top"), F.min(F.struct(F.xxhash64("key", F.lit(turn)).alias("h"), F.struct("key", "n", "component").alias("x")))["x"].alias("x")).where("low < top")
-        a = now.select("cell", F.col("key").alias("k_a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
-        if turn < STARS:
-            b = mixed.select("cell", F.col("x.key").alias("k_b"), F.col("x.n").alias("n_b"), F.col("x.component").alias("c_b"))
-        else:
-            b = a.join(mixed.select("cell"), "cell", "left_semi").toDF("cell", "k_b", "n_b", "c_b").where("true")
-        near = a.join(b, "cell").where((F.col("c_a") != F.col("c_b")) & fits)
-        if turn == STARS:
-            near = near.where("k_a < k_b")
+    for turn in range(STARS):
+        # first the text that meets most others, as the one that a group was made of does, then any
+        order = -F.col("met") if turn == 0 else F.xxhash64("key", F.lit(turn))
+        mixed = _mixed_cells(now).groupBy("cell").agg(F.min(F.struct(order.alias("h"), F.struct("key", "n", "component").alias("x")))["x"].alias("x"))
+        b = mixed.select("cell", F.col("x.key").alias("k_b"), F.col("x.n").alias("n_b"), F.col("x.component").alias("c_b"))
+        near = _sides(now, "a").join(b, "cell").where((F.col("c_a") != F.col("c_b")) & fits)
         pairs = near.select(F.least("k_a", "k_b").alias("a"), F.greatest("k_a", "k_b").alias("b")).distinct()
         pairs = saved(pairs.join(tested, ["a", "b"], "left_anti"))
         edges, tested = edges.union(saved(_alike(pairs, named, least))), tested.union(pairs)
-        now = saved(_components(members, edges)) if turn < STARS else now
+        now = saved(_components(members, edges))
+    left = saved(_with_parity(_mixed_cells(now), named))
+    differ = sum((F.bit_count(F.col(f"p{i}_a").bitwiseXOR(F.col(f"p{i}_b"))) for i in range(SEGMENTS // 64)), F.lit(0))
+    near = _sides(left, "a").join(_sides(left, "b"), "cell").where((F.col("k_a") < F.col("k_b")) & (F.col("c_a") != F.col("c_b")) & fits & ((1 + least) * differ <= (1 - least) * (F.col("n_a") + F.col("n_b")) + 1e-6))
+    pairs = saved(near.select(F.col("k_a").alias("a"), F.col("k_b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"))
+    edges = edges.union(saved(_alike(pairs, named, least)))
     return _components(signed.select("key"), edges)
 
 
