@@ -73,3 +73,16 @@ def _copied(source, target):
     import shutil
 
     shutil.copytree(source, target, ignore=shutil.ignore_patterns("llm", "__pycache__"))
+
+
+def test_pairs_round_trip(spark, tmp_path):
+    rows = [(f'q "{i}" é', f"line\n[{i}]") for i in range(20)]
+    pairs = spark.createDataFrame(rows, "query string, answer string").repartition(3)
+    for array in (False, True):
+        records.write_pairs(pairs, str(tmp_path / f"p{array}"), array)
+        assert sorted(tuple(r) for r in records.read_pairs(spark, str(tmp_path / f"p{array}")).collect()) == sorted(rows)
+    (part,) = (tmp_path / "pTrue").glob("part-*")
+    assert len(json.loads(part.read_text())) == 20
+    records.write_pairs(pairs.limit(0), str(tmp_path / "none"), True)
+    with pytest.raises(ValueError):
+        records.read_pairs(spark, str(tmp_path / "none"))

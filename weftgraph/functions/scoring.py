@@ -39,6 +39,7 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def predicate_adjustment(predicate: Column, intention: str, query: str) -> Column:
     """What the query's intention adds to or takes from an edge, by the edge's local name."""
+    # Beginnings of predicates, parts of intentions and queries, and what they add.
     name, low = F.lower(local_name(predicate)), intention.lower()
     replaced = name.startswith("substituida_por") | name.startswith("replaced_by")
     route = name.startswith("tem_rota") | name.startswith("has_route")
@@ -62,20 +63,20 @@ def heuristic(edges: DataFrame, query: str, intention: str) -> DataFrame:
 
 
 def pair_text(current: Column, predicate: Column, target: Column, intention: str) -> Column:
-    """An edge put into words for a model that judges relevance."""
+    """An edge put into words for a model that judges relevance. The phrases are fixed values."""
     return F.concat(F.lit("Current: "), current, F.lit(". Relation: "), local_name(predicate), F.lit(". Target: "), target, F.lit(f". Intent: {intention}."))
 
 
 def cross_encoder(model: Callable[[list[tuple[str, str]]], list[float]]) -> EdgeScorer:
-    """An edge scorer from a function that scores pairs of texts: tanh of the score, less 0.25 on the path.
+    """An edge scorer from a function that scores pairs of texts: tanh of the score, which is 0.25 less on the path.
 
     The penalty stands outside whatever the model remembers, so it doesn't depend on the order of calls.
     """
     judge = F.pandas_udf(lambda a, b: pd.Series(model(list(zip(a, b))), dtype=float), "double")
 
     def score(edges: DataFrame, query: str, intention: str) -> DataFrame:
-        raw = F.tanh(judge(F.lit(query), pair_text(F.col("from_text"), F.col("p"), F.col("text"), intention)))
-        return edges.withColumn("score", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), raw - F.when(F.col("on_path"), 0.25).otherwise(0.0))))
+        raw = judge(F.lit(query), pair_text(F.col("from_text"), F.col("p"), F.col("text"), intention))
+        return edges.withColumn("score", F.tanh(raw - F.when(F.col("on_path"), 0.25).otherwise(0.0)))
 
     return score
 

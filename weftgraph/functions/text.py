@@ -60,6 +60,7 @@ def preview(value: Column, n: int) -> Column:
     return F.when(F.char_length(value) > n, F.concat(F.left(value, F.lit(n)), F.lit("..."))).otherwise(value)
 
 
+# The words of a block's header and sections.
 def header(name: Column, kind: Column, path: Column, language: Column, version: Column) -> Column:
     return F.concat(F.lit("Block "), name, F.lit(" ("), kind, F.lit(") located in "), path, F.lit(" for "), language, F.lit(" / "), version, F.lit("."))
 
@@ -71,7 +72,8 @@ def passage(name: Column, kind: Column, path: Column, language: Column, version:
 
 
 def intent_tokens(name: Column) -> Column:
-    return F.array_remove(F.split(F.lower(name), "[^a-z0-9]+"), "")
+    """ASCII runs of the name as it stands, each in lower case."""
+    return F.transform(F.array_remove(F.split(name, "[^a-zA-Z0-9]+"), ""), lambda x: F.lower(x))
 
 
 def answer_language(answer: Column) -> Column:
@@ -96,9 +98,9 @@ def token_hits(label: Column, uri: Column, query: str) -> Column:
 
 
 def term_pattern(term: str, ignore_case: bool = False) -> str:
-    """The term as a whole word, taken literally."""
+    """The term as a whole word, taken literally; words and cases are those of Unicode."""
     quoted = term.replace("\\E", "\\E\\\\E\\Q")
-    return f"{'(?i)' if ignore_case else ''}\\b\\Q{quoted}\\E\\b"
+    return f"{'(?iuU)' if ignore_case else '(?U)'}\\b\\Q{quoted}\\E\\b"
 
 
 def term_lines(code: Column, term: str, ignore_case: bool = False) -> Column:
@@ -131,8 +133,8 @@ def intention(query: Column) -> Column:
 
 #: What counts as an entry of a query.
 QUOTED = r'"([^"]+)"'
-SLASHED = r"/\w[\w\-/]*"
-NAMED = r"(?i)(?:API\s+\w+|Funcao\w*|Function\w*|rota\s+/\w+|route\s+/\w+)"
+SLASHED = r"(?U)/\w[\w\-/]*"
+NAMED = r"(?iuU)(?:API\s+\w+|Funcao\w*|Function\w*|rota\s+/\w+|route\s+/\w+)"
 
 
 def entries(query: Column) -> Column:

@@ -3,7 +3,7 @@
 On the complete graph, which is the default adjacency, each merge into the larger community gains,
 so all nodes are one community. With edges given, nodes move between communities in rounds: every
 node sees where it would gain most, and nodes of one colour, drawn by hash anew in each round, move
-at once. All of it is joins and aggregations; a community of any size is no single task's load.
+at once; then communities are contracted to the nodes of a smaller graph, and so on. All of it is joins and aggregations; a community of any size is no single task's load.
 """
 
 from __future__ import annotations
@@ -11,43 +11,63 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.session import saved
+
 
 def single(nodes: DataFrame) -> DataFrame:
     """(uri, community): all in one, named by its least member."""
     return nodes.select("uri").crossJoin(F.broadcast(nodes.agg(F.min("uri").alias("community"))))
 
 
-def louvain(edges: DataFrame, rounds: int = 10, seed: int = 42, colours: int = 2) -> DataFrame:
-    """(uri, community) from (src, dst[, weight]): the local moves of Louvain, up to `rounds` sweeps."""
+def louvain(edges: DataFrame, rounds: int = 10, seed: int = 42, colours: int = 2, levels: int = 10) -> DataFrame:
+    """(uri, community) from (src, dst[, weight]): local moves, then communities become the nodes of the next level, until none join.
+
+    A level ends after `rounds` sweeps, or before, when a sweep moves no node.
+    """
     weight = F.coalesce("weight", F.lit(1.0)) if "weight" in edges.columns else F.lit(1.0)
     half = edges.where("src <> dst").select("src", "dst", weight.alias("w"))
-    both = half.unionByName(half.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")).groupBy("src", "dst").agg(F.sum("w").alias("w"))
-    degree = both.groupBy(F.col("src").alias("uri")).agg(F.sum("w").alias("k"))
-    total = degree.agg(F.sum("k")).first()[0]
-    now = degree.select("uri", "k", F.col("uri").alias("community"))
+    both = saved(half.unionByName(half.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")).groupBy("src", "dst").agg(F.sum("w").alias("w")))
+    nodes = saved(both.groupBy(F.col("src").alias("uri")).agg(F.sum("w").alias("k")))
+    total, n = nodes.agg(F.sum("k"), F.count("*")).first()
+    found = nodes.select("uri", F.col("uri").alias("community"))
     if not total:
-        return now.select("uri", "community")
-    for n in range(rounds * colours):
-        now = _saved(now)
-        mass = now.groupBy("community").agg(F.sum("k").alias("mass"))
-        near = both.join(now.select(F.col("uri").alias("dst"), "community"), "dst").groupBy(F.col("src").alias("uri"), "community").agg(F.sum("w").alias("inside"))
-        own = now.select("uri", "k", F.col("community").alias("own"))
-        seen = near.join(own, "uri").join(mass, "community")
-        rest = F.col("mass") - F.when(F.col("community") == F.col("own"), F.col("k")).otherwise(0.0)
-        gain = F.col("inside") - F.col("k") * rest / F.lit(float(total))
-        best = seen.withColumn("gain", gain).groupBy("uri", "own", "k").agg(F.max(F.when(F.col("community") == F.col("own"), F.col("gain"))).alias("stay"), F.max(F.struct("gain", F.col("community").alias("to"))).alias("best"))
-        turn = F.pmod(F.xxhash64("uri", F.lit(seed + n)), F.lit(colours)) == 0
-        better = turn & (F.col("best.gain") > F.coalesce("stay", F.lit(0.0)) + 1e-12)
-        now = best.select("uri", "k", F.when(better, F.col("best.to")).otherwise(F.col("own")).alias("community"))
-    ends = now.groupBy("community").agg(F.min("uri").alias("named"))
-    return now.join(ends, "community").select("uri", F.col("named").alias("community"))
-
-
-def _saved(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder that spark.checkpoint.dir names, or in one of our own where it is unset."""
-    import tempfile
-
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weftgraph-"))
-    return df.checkpoint()
+        return found
+    for level in range(levels):
+        now = _moved(both, nodes, float(total), rounds, seed + 1000 * level, colours)
+        ends = now.groupBy("community").agg(F.min("uri").alias("named"), F.sum("k").alias("k"))
+        named = saved(now.join(ends.drop("k"), "community").select(F.col("uri").alias("community"), "named"))
+        found = saved(found.join(named, "community").select("uri", F.col("named").alias("community")))
+        nodes = saved(ends.select(F.col("named").alias("uri"), "k"))
+        before, n = n, nodes.count()
+        if n in (1, before):
+            break
+        a, b = (named.select(F.col("community").alias(c), F.col("named").alias(f"to_{c}")) for c in ("src", "dst"))
+        both = saved(both.join(a, "src").join(b, "dst").where("to_src <> to_dst").groupBy(F.col("to_src").alias("src"), F.col("to_dst").alias("dst")).agg(F.sum("w").alias("w")))
+        if both.isEmpty():
+            break
+    return found
+
+
+def _moved(both: DataFrame, nodes: DataFrame, total: float, rounds: int, seed: int, colours: int) -> DataFrame:
+    """(uri, k, community) after the sweeps of one level, each node beginning on its own."""
+    now = nodes.select("uri", "k", F.col("uri").alias("community"))
+    for sweep in range(rounds):
+        moves = 0
+        for n in range(colours):
+            mass = now.groupBy("community").agg(F.sum("k").alias("mass"))
+            near = both.join(now.select(F.col("uri").alias("dst"), "community"), "dst").groupBy(F.col("src").alias("uri"), "community").agg(F.sum("w").alias("inside"))
+            own = now.select("uri", "k", F.col("community").alias("own"))
+            seen = near.join(own, "uri").join(mass, "community")
+            rest = F.col("mass") - F.when(F.col("community") == F.col("own"), F.col("k")).otherwise(0.0)
+            gain = F.col("inside") - F.col("k") * rest / F.lit(total)
+            best = seen.withColumn("gain", gain).groupBy("uri", "own", "k").agg(F.max(F.when(F.col("community") == F.col("own"), F.col("gain"))).alias("stay"), F.max(F.struct("gain", F.col("community").alias("to"))).alias("best"))
+            # a node without neighbours on this level stays
+            best = own.join(best.drop("own", "k"), "uri", "left")
+            turn = F.pmod(F.xxhash64("uri", F.lit(seed + sweep)), F.lit(colours)) == n  # one turn in each sweep
+            better = F.coalesce(turn & (F.col("best.gain") > F.coalesce("stay", F.lit(0.0)) + 1e-12), F.lit(False))
+            step = saved(best.select("uri", "k", F.when(better, F.col("best.to")).otherwise(F.col("own")).alias("community"), better.alias("moved")))
+            moves += step.where("moved").count()
+            now = step.drop("moved")
+        if not moves:
+            break
+    return now

@@ -41,9 +41,9 @@ def analyze(log: DataFrame, window: int = 5, least: int = 3, above: float = 0.05
     return suggestions(pairs(log, window), least, above)
 
 
-def summary(log: DataFrame, window: int = 5) -> DataFrame:
-    """One row: sessions, queries, pairs, suggestions and the ten best of them."""
-    counted = pairs(log, window)
+def summary(log: DataFrame, window: int = 5, **options) -> DataFrame:
+    """One row: sessions, queries, pairs, suggestions and the ten best of them; `options` are those of `pairs`."""
+    counted = pairs(log, window, **options)
     best = suggestions(counted)
     top = best.limit(10).agg(F.sort_array(F.collect_list(F.struct("confidence", "source_uri", "target_uri")), False).alias("top"))
     of_log = log.agg(F.count_distinct("session_id").alias("sessions"), F.count("*").alias("queries"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from weftgraph import vocab
 from weftgraph.functions.text import block_uri, file_uri, slug_dataset
-from weftgraph.operators.triples import triples, union
+from weftgraph.operators.triples import COLUMNS
 
 # What opens a block.
 JAVA_CLASS = re.compile(r"^\s*(?:public\s+)?(?:final\s+)?class\s+(?P<name>[A-Za-z_][A-Za-z0-9_]*)[^\{]*\{", re.M)
@@ -117,20 +117,25 @@ def paragraphs(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def graph(found: DataFrame, base: str = vocab.BASE) -> DataFrame:
-    """Triples of blocks (language, version, path, index, name, kind, code): languages, versions, files, blocks and what belongs to what."""
+    """Triples of blocks (language, version, path, index, name, kind, code): languages, versions, files, blocks and what belongs to what.
+
+    A row for each block gives all its triples in one pass; those of its file come with its first
+    block, and as a block's URI is its own, neither needs to be compared with others. Only languages
+    and versions, which many files share, are.
+    """
     tw, c = vocab.TW, F.col
     language, version = slug_dataset(c("language")), slug_dataset(c("version"))
     rows = found.select(
         "*", F.concat_ws(" ", "language", "version").alias("told"), F.concat(F.lit(base + "language/"), language).alias("l"), F.concat(F.lit(base + "version/"), language, F.lit("/"), version).alias("v"),
         file_uri(base, language, version, c("path")).alias("f"), block_uri(base, language, version, c("path"), c("index")).alias("b"),
     )
-    uri = lambda s, p, o: triples(rows, c(s), tw + p, c(o), "uri")
-    typed = lambda s, kind: triples(rows, c(s), vocab.TYPE, F.lit(tw + kind), "uri")
-    text = lambda s, p, o: triples(rows, c(s), tw + p, c(o))
-    return union(
-        typed("l", "Language"), text("l", "label", "language"),
-        typed("v", "ProjectVersion"), text("v", "label", "told"), uri("v", "belongsToLanguage", "l"),
-        typed("f", "File"), text("f", "path", "path"), uri("f", "belongsToVersion", "v"), uri("f", "containsBlock", "b"),
-        typed("b", "CodeBlock"), *(text("b", k, k) for k in ("name", "kind", "code")),
-        uri("b", "belongsToFile", "f"), uri("b", "belongsToVersion", "v"), uri("b", "belongsToLanguage", "l"),
-    )
+    made = lambda s, p, o, kind: F.struct(c(s).alias("s"), F.lit(p).alias("p"), o.alias("o"), F.lit(kind).alias("o_kind"), F.lit(None).cast("string").alias("o_datatype"), F.lit(None).cast("string").alias("o_lang"))
+    uri = lambda s, p, o: made(s, tw + p, c(o), "uri")
+    typed = lambda s, kind: made(s, vocab.TYPE, F.lit(tw + kind), "uri")
+    text = lambda s, p, o: made(s, tw + p, c(o), "literal")
+    each = [uri("f", "containsBlock", "b"), typed("b", "CodeBlock"), *(text("b", k, k) for k in ("name", "kind", "code")), uri("b", "belongsToFile", "f"), uri("b", "belongsToVersion", "v"), uri("b", "belongsToLanguage", "l")]
+    file = [typed("f", "File"), text("f", "path", "path"), uri("f", "belongsToVersion", "v")]
+    shared = [typed("l", "Language"), text("l", "label", "language"), typed("v", "ProjectVersion"), text("v", "label", "told"), uri("v", "belongsToLanguage", "l")]
+    of_blocks = rows.select(F.inline(F.when(c("index") == 0, F.array(*each, *file)).otherwise(F.array(*each))))
+    known = rows.where("index = 0").select("l", "language", "v", "told").distinct()
+    return of_blocks.unionByName(known.select(F.inline(F.array(*shared))).distinct()).select(*COLUMNS)

@@ -6,6 +6,7 @@ plan, unions and anti-joins that Spark can run over a graph of any size.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -103,26 +104,54 @@ def property_bag(graph: DataFrame) -> DataFrame:
 
 
 class KnowledgeGraph:
-    """A concept graph by name: a thin handle that replaces its plan with each change."""
+    """A concept graph by name. Changes are collected and applied as one batch when the graph is next read."""
 
     def __init__(self, graph: DataFrame, base: str = vocab.KG):
-        self.graph, self.base, self.spark = graph, base, graph.sparkSession
+        self.base, self.spark = base, graph.sparkSession
+        self.graph = graph
+
+    @property
+    def graph(self) -> DataFrame:
+        """The triples with all changes so far."""
+        if self._put or self._gone or self._new:
+            held = self._held
+            if self._put:
+                held = held.join(F.broadcast(self.spark.createDataFrame(sorted(self._put), "s string, p string")), ["s", "p"], "left_anti").select(COLUMNS)
+            if self._gone:
+                held = delete(held, rows(self.spark, sorted(self._gone)))
+            self.graph = union(held, rows(self.spark, list(self._new)))
+        return self._held
+
+    @graph.setter
+    def graph(self, value: DataFrame) -> None:
+        self._held = value
+        # subjects and predicates whose old values go, triples that go, triples that come (in order)
+        self._put, self._gone, self._new = set(), set(), {}
+
+    def _insert(self, *new: tuple) -> None:
+        for t in new:
+            self._gone.discard(t)
+            self._new[t] = None
 
     def _uri(self, value: str) -> str:
+        """As `to_uri`, for one name, without a Spark job."""
         if value.startswith(("http://", "https://")):
             return value
-        return self.spark.range(1).select(to_uri(F.lit(value), self.base)).first()[0]
+        return self.base + (re.sub("[^a-zA-Z0-9]+", "_", value).strip("_") or "resource").lower()
 
     def ensure_node(self, node: str, label: str | None = None) -> str:
         """The node's URI; it is a concept from now on, with this label if one is given."""
         uri = self._uri(node)
-        self.graph = union(self.graph, rows(self.spark, [(uri, vocab.TYPE, vocab.KG + "Concept", "uri")]))
+        self._insert((uri, vocab.TYPE, vocab.KG + "Concept", "uri"))
         if label:
             self.set_label(uri, label)
         return uri
 
     def set_label(self, node: str, label: str) -> None:
-        self.graph = put(self.graph, rows(self.spark, [(self._uri(node), vocab.LABEL, label)]))
+        s = self._uri(node)
+        self._put.add((s, vocab.LABEL))
+        self._new = {t: None for t in self._new if t[:2] != (s, vocab.LABEL)}
+        self._insert((s, vocab.LABEL, label, "literal"))
 
     def get_label(self, node: str) -> str | None:
         found = labels(self.graph).where(F.col("uri") == self._uri(node)).first()
@@ -132,14 +161,16 @@ class KnowledgeGraph:
         """Both ends become nodes, but for a literal; predicates are slugs."""
         s, p = self.ensure_node(subject), self._uri(predicate)
         o = obj if obj_is_literal else self.ensure_node(obj)
-        self.graph = union(self.graph, rows(self.spark, [(s, p, o, "literal" if obj_is_literal else "uri")]))
+        self._insert((s, p, o, "literal" if obj_is_literal else "uri"))
         return s, p, o
 
     def remove_edge(self, subject: str, predicate: str, obj: str, obj_is_literal: bool = True) -> None:
         """A plain object is a literal by default."""
         s, p = self._uri(subject), self._uri(predicate)
         o = obj if obj_is_literal else self._uri(obj)
-        self.graph = delete(self.graph, rows(self.spark, [(s, p, o, "literal" if obj_is_literal else "uri")]))
+        gone = (s, p, o, "literal" if obj_is_literal else "uri")
+        self._new.pop(gone, None)
+        self._gone.add(gone)
 
     def neighbors(self, node: str) -> DataFrame:
         return neighbors(self.graph, self._uri(node))
@@ -154,7 +185,11 @@ class KnowledgeGraph:
         self.graph = empty(self.spark)
 
     def query(self, sql: str, view: str = "triples") -> DataFrame:
-        """SQL over the graph, which is the view `triples`."""
+        """A SPARQL SELECT, or SQL over the graph, which is the view `triples`."""
+        from weftgraph.plans import sparql
+
+        if sparql.is_sparql(sql):
+            return sparql.select(self.graph, sql)
         self.graph.createOrReplaceTempView(view)
         return self.spark.sql(sql)
 

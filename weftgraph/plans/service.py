@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from weftgraph.functions.text import session_id
 from weftgraph.operators import blocks, cluster, cooccur, enrich
 from weftgraph.plans import beam, ranking
+from weftgraph.session import saved
 from weftgraph.sources import records, turtle
 
 
@@ -34,7 +35,7 @@ class Service:
 
     def search_code(self, query: str, top_k: int = 5, steps: int = 0, beam_width: int = 3, doc_penalty: float = 0.0, enable_logging: bool = False, related: bool = False) -> tuple[DataFrame, beam.Beam | None]:
         """The best blocks, and a beam search from them if steps are asked for; logged whenever logging is on."""
-        scored = ranking.scored(self.blocks, query, self.model, doc_penalty)
+        scored = saved(ranking.scored(self.blocks, query, self.model, doc_penalty))  # read several times; a model may be dear
         best = scored.orderBy(F.desc("score"), "uri").limit(top_k)
         found = None
         if steps > 0:

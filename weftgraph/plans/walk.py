@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from weftgraph.functions import text
 from weftgraph.functions.scoring import EdgeScorer, heuristic
 from weftgraph.operators import triples as t
+from weftgraph.session import saved
 
 STEP = "struct<`from`:string,from_label:string,predicate:string,predicate_uri:string,`to`:string,to_label:string,score:double>"
 
@@ -20,15 +21,17 @@ def walk(graph: DataFrame, entries: DataFrame, query: str, intention: str, max_d
     least predicate is taken.
     """
     edges = t.labelled(t.edges(graph).select("s", "p", "o", "o_kind").distinct(), graph, "o", "to_label")
-    edges = edges.withColumn("text", F.when(F.col("o_kind") == "literal", F.col("o")).otherwise(F.col("to_label"))).drop("to_label")
+    edges = saved(edges.withColumn("text", F.when(F.col("o_kind") == "literal", F.col("o")).otherwise(F.col("to_label"))).drop("to_label"))
     state = entries.select(F.col("uri").alias("entry_node"), F.col("label").alias("entry_label"), F.col("uri").alias("at"), F.col("label").alias("from_text"), F.array("uri").alias("visited"), F.array().cast(f"array<{STEP}>").alias("path"), F.lit(True).alias("open"))
-    order = Window.partitionBy("entry_node").orderBy(F.desc_nulls_last("score"), "o", "p")
+    # the least of (score, negated, target, predicate): aggregated before the shuffle, so a hub's edges are not sorted
+    order = F.coalesce(-F.col("score"), F.lit(float("inf"))).alias("order")
     for _ in range(max_depth):
         # a walker's state rides on the rows of its edges, so the plan grows by one join a step
         ahead = state.join(edges, F.col("open") & (F.col("at") == F.col("s")), "left")
         ahead = ahead.withColumn("on_path", F.coalesce((F.col("o_kind") == "uri") & F.array_contains("visited", F.col("o")), F.lit(False)))
         scored = scorer(ahead, query, intention).withColumn("score", F.when(F.col("s").isNotNull(), F.col("score")))
-        best = scored.withColumn("n", F.row_number().over(order)).where("n = 1").withColumn("goes", F.coalesce(F.col("score") >= min_score, F.lit(False)))
+        others = [c for c in scored.columns if c not in ("entry_node", "o", "p")]
+        best = scored.groupBy("entry_node").agg(F.min(F.struct(order, "o", "p", F.struct(*others).alias("x"))).alias("best")).select("entry_node", "best.o", "best.p", "best.x.*").withColumn("goes", F.coalesce(F.col("score") >= min_score, F.lit(False)))
         step = F.struct(F.col("at").alias("from"), F.col("from_text").alias("from_label"), text.local_name(F.col("p")).alias("predicate"), F.col("p").alias("predicate_uri"), F.col("o").alias("to"), F.col("text").alias("to_label"), "score")
         further = F.col("goes") & (F.col("o_kind") == "uri") & ~F.col("on_path")
         then = lambda new, old: F.when(F.col("goes"), new).otherwise(old)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from weftgraph import vocab
 from weftgraph.functions import scoring, text, vectors
-from weftgraph.operators import blocks, cluster, community, cooccur, dataset, extract, triples
+from weftgraph.operators import blocks, cluster, community, cooccur, dataset, enrich, extract, triples
 from weftgraph.plans import beam, ranking, walk
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -104,10 +104,11 @@ def node_property_bag(spark, d):
     return triples.properties(star(spark, d))
 
 
-@register(STAR + f"SELECT DISTINCT s FROM star WHERE contains(s, 'customer/7') OR (p = '{vocab.LABEL}' AND contains(lower(o), 'germany')) ")
+@register(STAR + f""", hit AS (SELECT DISTINCT s FROM star WHERE contains(s, 'GERM') OR (p = '{vocab.LABEL}' AND contains(lower(o), 'germ')) OR contains(s, 'customer/7') ORDER BY s LIMIT 40)
+ SELECT s, CASE WHEN p = '{vocab.LABEL}' THEN 'name' ELSE regexp_extract(p, '[^/]*$') END AS key, max(o) AS value FROM star JOIN hit USING (s) GROUP BY ALL""")
 def node_lookup(spark, d):
-    g = star(spark, d)
-    return g.where(F.contains("s", F.lit("customer/7")) | ((F.col("p") == vocab.LABEL) & F.contains(F.lower("o"), F.lit("germany")))).select("s").distinct()
+    g = star(spark, d).withColumn("p", F.when(F.col("p") == vocab.LABEL, vocab.TW + "name").otherwise(F.col("p")))
+    return blocks.by_identifier(g, "customer/7", 40).select("s", F.explode("bag").alias("key", "value"))
 
 
 @register("""SELECT 'n/' || n_nationkey AS uri, n_name AS label, (contains(lower(n_name), 'united')::INT + contains(lower(n_name), 'an')::INT + (contains('n/' || n_nationkey, '1'))::INT * 0) AS hits FROM nation
@@ -274,15 +275,40 @@ def _cases(table_: tuple, default: str) -> str:
     return f"CASE {whens} ELSE '{default}' END"
 
 
-@register(f"SELECT conv_id, turn, {_cases(text.ACTIONS, 'recuperar')} AS acao, {_cases(text.INTENTIONS, 'Desconhecida')} AS intencao FROM conversations")
+#: What is put before and after the turns of conversations, by number, so that each action, intention and kind of entry is met.
+BEFORE = ("Por favor SALVAR ", "Atualizar: ", "qual o estado Corrente de ", "Historical check of ", "planejar ", "", "Ingest the plan of ", "substituir ")
+AFTER = (' de "API nova" e "rota/é 1"', " na rota /sessão_2/x-y e rota /ação", " da API versão2, api\tbeta e FuncaoÇa", " em Functional /a/b /a/b", "", " /ção", " route /über function_é", ' "" e " "')
+
+
+def asked(spark: SparkSession, d: str) -> DataFrame:
+    n = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(8)).cast("int")
+    of = lambda x: F.get(F.array(*map(F.lit, x)), n)
+    return table(spark, d, "conversations").select("conv_id", "turn", F.concat(of(BEFORE), F.left("text", F.lit(60)), of(AFTER)).alias("text"))
+
+
+def _asked_sql() -> str:
+    of = lambda x: "[" + ", ".join("'" + y.replace("'", "''") + "'" for y in x) + "][((conv_id + turn) % 8)::INT + 1]"
+    return f"WITH asked AS (SELECT conv_id, turn, {of(BEFORE)} || left(text, 60) || {of(AFTER)} AS text FROM conversations) "
+
+
+@register(_asked_sql() + f"SELECT conv_id, turn, {_cases(text.ACTIONS, 'recuperar')} AS acao, {_cases(text.INTENTIONS, 'Desconhecida')} AS intencao FROM asked")
 def intent_detect(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", text.action(F.col("text")).alias("acao"), text.intention(F.col("text")).alias("intencao"))
+    return asked(spark, d).select("conv_id", "turn", text.action(F.col("text")).alias("acao"), text.intention(F.col("text")).alias("intencao"))
 
 
-@register(r"""SELECT conv_id, turn, array_to_string(CASE WHEN len(q) > 0 THEN q WHEN len(e) > 0 THEN e ELSE [text] END, '|') AS entries FROM
- (SELECT conv_id, turn, text, regexp_extract_all(text, '"([^"]+)"', 1) AS q, list_reduce(list_prepend([]::VARCHAR[], list_transform(list_filter(list_transform(list_concat(regexp_extract_all(text, '/\w[\w\-/]*'), regexp_extract_all(text, '(?i)(?:API\s+\w+|Funcao\w*|Function\w*|rota\s+/\w+|route\s+/\w+)')), lambda x: trim(x)), lambda x: x <> ''), lambda x: [x])), lambda a, b: CASE WHEN list_contains(a, b[1]) THEN a ELSE list_concat(a, b) END) AS e FROM conversations)""")
+@register(_asked_sql() + r"""SELECT conv_id, turn, array_to_string(CASE WHEN len(q) > 0 THEN q WHEN len(e) > 0 THEN e ELSE [text] END, '|') AS entries FROM
+ (SELECT conv_id, turn, text, regexp_extract_all(text, '"([^"]+)"', 1) AS q, list_reduce(list_prepend([]::VARCHAR[], list_transform(list_filter(list_transform(list_concat(regexp_extract_all(text, '/[\pL\pM\pN_][\pL\pM\pN_\-/]*'), regexp_extract_all(text, '(?i)(?:API\s+[\pL\pM\pN_]+|Funcao[\pL\pM\pN_]*|Function[\pL\pM\pN_]*|rota\s+/[\pL\pM\pN_]+|route\s+/[\pL\pM\pN_]+)')), lambda x: trim(x)), lambda x: x <> ''), lambda x: [x])), lambda a, b: CASE WHEN list_contains(a, b[1]) THEN a ELSE list_concat(a, b) END) AS e FROM asked)""")
 def entry_extract(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(text.entries(F.col("text")), "|").alias("entries"))
+    return asked(spark, d).select("conv_id", "turn", F.array_join(text.entries(F.col("text")), "|").alias("entries"))
+
+
+@register("""WITH t AS (SELECT doc_id, 'x CAFÉ' || doc_id || ' café, Café. caféx ' || left(text, 40) || ' über' AS code FROM documents)
+ SELECT doc_id, 2::BIGINT AS any_case, 1::BIGINT AS same_case, (regexp_matches(left(code, 0), '$'))::INT::BIGINT AS shown FROM t""")
+def accented_term_search(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", F.concat(F.lit("x CAFÉ"), F.col("doc_id").cast("string"), F.lit(" café, Café. caféx "), F.left("text", F.lit(40)), F.lit(" über")).alias("code"))
+    every = blocks.by_term(rows, "café", True, None, key="doc_id", shown=1).select("doc_id", F.col("occurrences").cast("long").alias("any_case"), F.size("lines").cast("long").alias("shown"))
+    same = blocks.by_term(rows, "café", False, None, key="doc_id").select("doc_id", F.col("occurrences").cast("long").alias("same_case"))
+    return every.join(same, "doc_id")
 
 
 @register("SELECT p_partkey, array_to_string(list_filter(regexp_split_to_array(lower(p_type), '[^a-z0-9]+'), lambda x: x <> ''), ' ') AS intent FROM part")
@@ -292,9 +318,8 @@ def intent_tokens(spark, d):
 
 @register("SELECT event_id, round(1 / (1 + exp(-value / 100)), 9) AS probability, round(tanh(value / 100), 9) AS squashed FROM events WHERE 1 / (1 + exp(-value / 100)) >= 0.55")
 def link_probability(spark, d):
-    x = F.col("value") / 100
-    df = table(spark, d, "events").withColumn("p", vectors.sigmoid(x)).where("p >= 0.55")
-    return df.select("event_id", F.round("p", 9).alias("probability"), F.round(F.tanh(x), 9).alias("squashed"))
+    scored = table(spark, d, "events").select("event_id", F.col("event_id").cast("string").alias("uri"), (F.col("value") / 100).alias("score"))
+    return enrich.probabilities(scored, 0.55).select("event_id", F.round("probability", 9).alias("probability"), F.round(F.tanh("score"), 9).alias("squashed"))
 
 
 @register(STAR + f"""SELECT s, o, CASE p WHEN '{KGN}inRegion' THEN -0.9::DOUBLE WHEN '{KGN}inNation' THEN 0.3::DOUBLE ELSE 0.0::DOUBLE END AS historical,
@@ -394,9 +419,7 @@ def cooccurrence_suggestions(spark, d):
 
 @register(PAIRS + "SELECT (SELECT count(DISTINCT user_id) FROM events) AS sessions, (SELECT count(*) FROM events) AS queries, (SELECT sum(n) FROM pairs)::BIGINT AS pairs, (SELECT count(*) FROM best WHERE n >= 3 AND c > 0.05) AS suggestions")
 def log_summary(spark, d):
-    l = log(spark, d)
-    counted = cooccur.pairs(l, order=ORDER)
-    return l.agg(F.count_distinct("session_id").alias("sessions"), F.count("*").alias("queries")).crossJoin(counted.agg(F.sum("n").alias("pairs"))).crossJoin(cooccur.suggestions(counted).agg(F.count("*").alias("suggestions")))
+    return cooccur.summary(log(spark, d), order=ORDER).select("sessions", "queries", "pairs", "suggestions")
 
 
 @register(PAIRS + f"SELECT source_uri AS s, '{vocab.TW}relatedTo' AS p, target_uri AS o, round(c, 9) AS confidence FROM best WHERE n >= 3 AND c > 0.05 AND c >= 0.051 AND NOT (source_uri = 'view' AND target_uri = 'click')")
@@ -436,8 +459,7 @@ def greedy_walk(spark, d):
 @register()
 def heuristic_walk(spark, d):
     g = star(spark, d)
-    entries = triples.labels(g).where(F.col("uri").like("%/supplier/%"))
-    return walk.walk(g, entries, "which nation is the route to ASIA", "Historica").select("entry_node", F.size("path").alias("steps"), F.round(F.get("path", F.lit(0))["score"], 6).alias("first_score"))
+    return walk.walk(g, triples.labels(g), "which nation is the route to ASIA", "Historica").select("entry_node", F.size("path").alias("steps"), F.round(F.get("path", F.lit(0))["score"], 6).alias("first_score"))
 
 
 BEAM = """WITH s AS (SELECT 'p/' || p_partkey AS uri, p_size::DOUBLE AS score FROM part), top AS (SELECT * FROM s ORDER BY score DESC, uri LIMIT 6),
@@ -497,7 +519,7 @@ def triplet_negatives(spark, d):
 
 @register()
 def triplets_from_pairs(spark, d):
-    pairs = dataset.pairs(documents(spark, d), per_block=1).select("query", "answer")
+    pairs = dataset.pairs(documents(spark, d)).select("query", "answer")
     return dataset.triplets_from_pairs(pairs).select("anchor", (F.col("positive") == F.col("negative")).alias("same"))
 
 
@@ -506,16 +528,64 @@ def answer_language(spark, d):
     return documents(spark, d).select("uri", text.answer_language(dataset.answer()).alias("language"))
 
 
-@register()
-def java_blocks(spark, d):
-    files = table(spark, d, "documents").select(F.concat(F.lit("src/"), F.col("doc_id").cast("string"), F.lit(".java")).alias("path"), "text")
-    return extract.blocks(files).select("path", "index", "name", "kind")
+#: A class with two methods, a program with three paragraphs, a unit with two routines, a text with two sections; # is the document's number.
+SOURCES = (
+    ("java", 'public class C# {\n  public int m#(int a) { return "}".length() + a; }\n  static void helper() { }\n}\n'),
+    ("cob", "       IDENTIFICATION DIVISION.\nPROGRAM-ID. X#.\nMAIN-#.\n    DISPLAY 1.\nEND-#.\n    STOP RUN.\n"),
+    ("pas", "unit U;\nprocedure P#;\nbegin\n  x := 1;\nend;\nfunction F#: Integer;\nbegin\n  if x then begin y; end;\nend;\n"),
+    ("txt", "first #\n \n\nsecond\nline"),
+)
+
+
+def sources(spark: SparkSession, d: str) -> DataFrame:
+    number, of = F.col("doc_id").cast("string"), F.pmod("doc_id", F.lit(len(SOURCES))).cast("int")
+    pick = lambda i: F.get(F.array(*(F.lit(x[i]) for x in SOURCES)), of)
+    return table(spark, d, "documents").select(F.concat(F.lit("src/"), number, F.lit("."), pick(0)).alias("path"), F.concat(F.replace(pick(1), F.lit("#"), number)).alias("text"))
+
+
+BLOCKS = (
+    ("java", "C#", "class", 'public class C# {\n  public int m#(int a) { return "}".length() + a; }\n  static void helper() { }\n}'), ("java", "m#", "method", '  public int m#(int a) { return "}".length() + a; }'), ("java", "helper", "method", "  static void helper() { }"),
+    ("cob", "PROGRAM-ID", "paragraph", "PROGRAM-ID. X#."), ("cob", "MAIN-#", "paragraph", "MAIN-#.\n    DISPLAY 1."), ("cob", "END-#", "paragraph", "END-#.\n    STOP RUN."),
+    ("pas", "P#", "procedure", "procedure P#;\nbegin\n  x := 1;\nend;"), ("pas", "F#", "function", "function F#: Integer;\nbegin\n  if x then begin y; end;\nend;"),
+    ("txt", "section-1", "section", "first #"), ("txt", "section-2", "section", "second\nline"),
+)
+
+
+def _blocks_sql() -> str:
+    quoted = lambda x: "replace('" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "', '#', doc_id::VARCHAR)"
+    parts, seen = [], {}
+    for suffix, name, kind, code in BLOCKS:
+        n = seen[suffix] = seen.get(suffix, -1) + 1
+        of = [x[0] for x in SOURCES].index(suffix)
+        parts.append(f"SELECT 'src/' || doc_id || '.{suffix}' AS path, {n} AS index, {quoted(name)} AS name, '{kind}' AS kind, sha1({quoted(code).replace('replace(', 'replace(', 1)}) AS code_sha1 FROM documents WHERE doc_id % {len(SOURCES)} = {of}")
+    return " UNION ALL ".join(parts)
+
+
+@register(_blocks_sql())
+def source_blocks(spark, d):
+    return extract.blocks(sources(spark, d)).select("path", "index", "name", "kind", F.sha1(F.col("code").cast("binary")).alias("code_sha1"))
 
 
 @register()
 def louvain(spark, d):
-    edges = table(spark, d, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("src"), F.concat(F.lit("p"), (F.col("l_partkey") % 50).cast("string")).alias("dst"))
-    return community.louvain(edges.groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight")), rounds=3)
+    """Communities of suppliers and parts by what is ordered of whom: two levels, three sweeps each."""
+    edges = table(spark, d, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst"))
+    return community.louvain(edges.groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight")), rounds=3, levels=2)
+
+
+@register(STAR + f"""SELECT n.o AS name, count(*) AS customers FROM star t JOIN star n ON n.s = t.o AND n.p = '{vocab.LABEL}' JOIN star r ON r.s = t.o AND r.p = '{KGN}inRegion'
+ WHERE t.p = '{KGN}inNation' AND t.s LIKE '%/customer/%' AND n.o <> 'GERMANY' GROUP BY 1""")
+def sparql_join(spark, d):
+    found = triples.KnowledgeGraph(star(spark, d)).query(f"""PREFIX k: <{vocab.KG}> PREFIX rdfs: <{vocab.RDFS}>
+ SELECT ?c ?name WHERE {{ ?c k:inNation ?n ; a k:Customer . ?n rdfs:label ?name ; k:inRegion ?r . FILTER(?name != "GERMANY") }}""")
+    return found.groupBy("name").agg(F.count("*").alias("customers"))
+
+
+@register(STAR + f"""SELECT DISTINCT t.s, g.o AS segment FROM (SELECT DISTINCT s FROM star WHERE p = '{vocab.LABEL}' AND (contains(lower(o), '00') OR regexp_matches(o, '^GER'))) t
+ LEFT JOIN star g ON g.s = t.s AND g.p = '{KGN}segment'""")
+def sparql_optional(spark, d):
+    return triples.KnowledgeGraph(star(spark, d)).query(f"""PREFIX k: <{vocab.KG}> PREFIX rdfs: <{vocab.RDFS}>
+ SELECT DISTINCT ?s ?segment WHERE {{ ?s rdfs:label ?l . OPTIONAL {{ ?s k:segment ?segment }} FILTER(CONTAINS(LCASE(?l), "00") || REGEX(?l, "^GER")) }}""")
 
 
 def queries() -> dict[str, Query]:

@@ -1,6 +1,8 @@
 """A session with the settings the plans expect."""
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "weftgraph", **conf: object) -> SparkSession:
@@ -10,3 +12,14 @@ def session(name: str = "weftgraph", **conf: object) -> SparkSession:
     for key, value in {**fixed, **{k.replace("__", "."): v for k, v in conf.items()}}.items():
         builder = builder.config(key, str(value))
     return builder.getOrCreate()
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """Cut the lineage in the folder that spark.checkpoint.dir names; in one of our own only where it is unset and all runs on one machine."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="weftgraph-checkpoints-"))
+    return df.checkpoint()

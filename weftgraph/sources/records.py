@@ -56,12 +56,18 @@ def archive(spark: SparkSession, path: str, suffix: str = ".processed") -> str:
 
 
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:
-    """(query, answer) of a JSON array; entries without both as strings are left out, and an error if none is left."""
-    raw = spark.read.text(path, wholetext=True)
-    first = raw.select(F.left(F.trim(F.regexp_replace("value", r"\s+", " ")), F.lit(1))).first()
-    if not first or first[0] != "[":
+    """(query, answer) of a JSON array, or of JSON lines; entries without both as strings are left out, and an error if none is left.
+
+    An array is one value and so one task's load; lines are read in splits, and what `write_pairs` makes.
+    """
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    first = lines.select(F.left(F.trim("value"), F.lit(1))).first()
+    if not first or first[0] not in "[{":
         raise ValueError(f"{path} holds no list")
-    items = raw.select(F.explode(F.from_json("value", "array<string>")).alias("x"))
+    if first[0] == "[":
+        items = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "array<string>")).alias("x"))
+    else:
+        items = lines.select(F.col("value").alias("x"))
     # only a string keeps its quotes in the raw value
     field = lambda k: F.get_json_object("x", f"$.{k}")
     quoted = lambda k: F.regexp_like("x", F.lit(rf'"{k}"\s*:\s*"'))
@@ -71,5 +77,12 @@ def read_pairs(spark: SparkSession, path: str) -> DataFrame:
     return out
 
 
-def write_pairs(pairs: DataFrame, path: str) -> None:
-    pairs.select("query", "answer").write.mode("overwrite").json(path)
+def write_pairs(pairs: DataFrame, path: str, array: bool = False) -> None:
+    """JSON lines in a folder, written in parallel; or one JSON array, for readers that want a single value, by one task that holds a row at a time."""
+    if not array:
+        pairs.select("query", "answer").write.mode("overwrite").json(path)
+        return
+    items = pairs.select(F.to_json(F.struct("query", "answer")).alias("value")).coalesce(1)
+    items = items.select(F.concat(F.when(F.monotonically_increasing_id() == 0, F.lit("[")).otherwise(","), "value").alias("value"))
+    end = pairs.sparkSession.createDataFrame([("]",)], "value string")
+    items.union(end).coalesce(1).write.mode("overwrite").text(path)
