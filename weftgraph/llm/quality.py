@@ -68,9 +68,9 @@ def measures(text: Column) -> Column:
             x["w"]["h"]["kinds"].cast("long").alias("n_kinds"),
             x["l"]["n"].cast("long").alias("n_lines"),
             F.regexp_count(text, F.lit(r"\p{Lu}")).cast("long").alias("n_upper"),
-            F.regexp_count(text, F.lit(r"\p{L}")).cast("long").alias("n_letters"),
+            F.char_length(F.regexp_replace(text, r"\P{L}++", "")).cast("long").alias("n_letters"),
             F.regexp_count(text, F.lit(r"[!?]")).cast("long").alias("n_shouts"),
-            F.regexp_count(text, F.lit(r"[.!?…。؟।]")).cast("long").alias("n_stops"),
+            F.regexp_like(text, F.lit("[.!?…。؟।]")).alias("has_stop"),
             F.regexp_count(text, F.lit(r"[^\p{L}\p{M}\p{N}\s]{2,}+|(?<!\S)[^\p{L}\p{M}\p{N}\s]++(?!\S)")).cast("long").alias("n_marks"),
         ),
     )
@@ -97,7 +97,7 @@ class Rule:
 #: Most rules know one fault and abstain where they don't see it.
 RULES = (
     Rule("length", "n_words < 20", "n_words >= 40", "fragment"),
-    Rule("no_sentence", "n_stops = 0", kind="fragment"),
+    Rule("no_sentence", "not has_stop", kind="fragment"),
     Rule("word_length", "n_words > 0 and (word_chars < 2 * n_words or word_chars > 14 * n_words)", "word_chars between 3 * n_words and 10 * n_words", "no_words"),
     Rule("letters", "2 * n_letters < word_chars", kind="no_words"),
     Rule("symbols", "10 * n_symbols > n_words", kind="symbols"),
