@@ -215,6 +215,8 @@ def test_ranking_with_a_model(spark):
     got = ranking.ranked(view, "q", 3, model)
     assert got.first()["name"] == "Shop" and ranking.ranked(view, "q", None, model).count() == 6
     assert ranking.embedded(view, lambda texts: [[1.0, 2.0] for _ in texts]).first()["embedding"] == [1.0, 2.0]
+    told = view.limit(1).select(F.lit("u").alias("uri"), F.lit("n").alias("name"), F.explode(F.array(F.lit("d"), F.lit(""), F.lit(None))).alias("description"), F.lit("co").alias("code"))
+    assert sorted(r["embedding"][0] for r in ranking.embedded(told, lambda texts: [[float(len(t))] for t in texts], passages=False).collect()) == [4.0, 4.0, 6.0]
 
 
 def brute_beam(scores, roots, steps, width):

@@ -31,7 +31,8 @@ def ranked(blocks: DataFrame, query: str, top_k: int | None = 5, model: Model |
     return out if top_k is None else out.limit(top_k)
 
 
-def embedded(blocks: DataFrame, encode: Callable[[list[str]], list[list[float]]]) -> DataFrame:
-    """(uri, embedding) from an encoder of passages, in Arrow batches."""
+def embedded(blocks: DataFrame, encode: Callable[[list[str]], list[list[float]]], passages: bool = True) -> DataFrame:
+    """(uri, embedding) from an encoder of passages, or of name, description if there is one, and code, in Arrow batches."""
     run = F.pandas_udf(lambda passages: pd.Series([list(map(float, v)) for v in encode(list(passages))]), "array<double>")
-    return with_passage(blocks).select("uri", run("passage").alias("embedding"))
+    texts = with_passage(blocks) if passages else blocks.withColumn("passage", F.concat_ws(" ", "name", F.nullif("description", F.lit("")), "code"))
+    return texts.select("uri", run("passage").alias("embedding"))

@@ -19,7 +19,7 @@ class Service:
 
     def __init__(self, graph: DataFrame, embeddings: DataFrame | None = None, log_path: str | None = None, model: ranking.Model | None = None, encode: Callable[[list[str]], list[list[float]]] | None = None):
         self.graph, self.spark, self.log_path, self.model, self.encode = graph, graph.sparkSession, log_path, model, encode
-        self._embeddings = embeddings
+        self._embeddings, self._told = embeddings, embeddings
 
     @property
     def blocks(self) -> DataFrame:
@@ -86,8 +86,13 @@ class Service:
         return blocks.by_name(self.blocks, name, exact, limit)
 
     def search_by_vector(self, query: str | Sequence[float], top_k: int = 10) -> DataFrame:
+        """The nearest blocks by the vectors that were handed in, else by those of name, description and code."""
         vector = self.encode([query])[0] if isinstance(query, str) else query
-        return cluster.nearest(self.embeddings, vector, top_k)
+        if self._told is None:
+            if not self.encode:
+                raise ValueError("there are neither embeddings nor an encoder")
+            self._told = ranking.embedded(self.blocks, self.encode, passages=False)
+        return cluster.nearest(self._told, vector, top_k)
 
     def search_by_code_term(self, term: str, case_sensitive: bool = True, limit: int = 20) -> DataFrame:
         return blocks.by_term(self.blocks, term, not case_sensitive, limit)
