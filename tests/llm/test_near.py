@@ -4,8 +4,9 @@ import random
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 from test_operators import shingles
-from weftgraph.llm import minhash, stages
+from weftgraph.llm import common, minhash, stages
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -72,3 +73,23 @@ def test_parity_is_a_lower_bound():
         b = np.unique(np.concatenate((a[: len(a) // 2], b)))
         differ = int(np.bitwise_count((minhash.parity(a) ^ minhash.parity(b)).view(np.uint64)).sum())
         assert differ <= len(np.setxor1d(a, b)) and (len(a) > 0 or differ <= len(b))
+
+
+def test_passes_that_are_over_hold_no_shuffle_files(spark, monkeypatch):
+    held = lambda: spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().size()
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(100)]
+    texts = [" ".join(f"e{rng.randrange(400)}" if rng.random() < 0.02 else w for w in base) for _ in range(40)]
+    docs = frame(spark, list(enumerate(texts))).select(minhash.key(F.col("text")).alias("key"), "text")
+    common.freed(spark)
+    before, counts = held(), []
+    cut = minhash.saved
+    monkeypatch.setattr(minhash, "saved", lambda df: (cut(df), counts.append(held() - before))[0])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # joins shuffle, as those of large tables do
+    try:
+        found = minhash.components(docs)
+        left = held() - before
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert found.count() == len(set(texts))
+    assert left <= 3 and max(counts) <= 60, (left, counts)

@@ -58,10 +58,12 @@ def freed(spark: SparkSession) -> None:
     """Let the shuffle files go now of plans that nothing refers to any more.
 
     Spark drops them when the driver happens to collect its garbage, which on a large heap may be
-    long after; an operator of several passes would hold those of all of them till then.
+    long after; an operator of several passes would hold those of all of them till then. What
+    Python lets go of, a thread of py4j tells the driver, which looks for it once a second only.
     """
+    gc.collect()
+    time.sleep(1.2)
     for _ in range(2):  # what the first collection lets go of holds what the second does
-        gc.collect()
         spark.sparkContext._jvm.System.gc()
         time.sleep(0.5)
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftgraph.llm import simhash
-from weftgraph.llm.common import connected_components, saved, whole
+from weftgraph.llm.common import connected_components, freed, saved, whole
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -139,8 +139,9 @@ def _with_parity(members: DataFrame, named: DataFrame) -> DataFrame:
 
 
 def _components(members: DataFrame, edges: DataFrame) -> DataFrame:
-    """`members` with the component each key has over the edges."""
+    """`members` with the component each key has over the edges. The shuffle files of the passes up to here go."""
     found = connected_components(edges).withColumnRenamed("node", "key")
+    freed(members.sparkSession)
     return members.join(found, "key", "left").withColumn("component", F.coalesce("component", "key"))
 
 
@@ -166,7 +167,9 @@ def components(texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
     members = cells.join(crowded, "cell")
     met = members.groupBy("key").agg(F.sum("size").alias("met"))
     members = saved(members.drop("size").join(met, "key"))
+    freed(texts.sparkSession)
     tested = saved(_seeds(signed))
+    freed(texts.sparkSession)
     asked = members.select("key").union(tested.select("a")).union(tested.select("b")).distinct()
     named = saved(_once(texts.join(asked, "key", "left_semi")))
     fits = (F.col("n_a") >= least * F.col("n_b") - 1e-6) & (F.col("n_b") >= least * F.col("n_a") - 1e-6)
