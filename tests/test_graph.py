@@ -4,6 +4,7 @@ import itertools
 import random
 from collections import Counter
 from difflib import SequenceMatcher
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -283,6 +284,18 @@ def test_communities(spark):
     assert {r["community"] for r in community.single(nodes).collect()} == {"a"}
 
 
+def test_a_node_of_many_neighbours_is_summed_up_in_parts(spark, monkeypatch):
+    rng = random.Random(3)
+    edges = spark.createDataFrame([("hub", f"n{i}", 1.0) for i in range(20)] + [(f"n{rng.randrange(20)}", f"n{rng.randrange(20)}", 2.0) for _ in range(25)], "src string, dst string, weight double")
+    of = lambda: sorted(map(tuple, community.louvain(edges, rounds=2, levels=2).collect()))
+    whole = of()
+    assert len(whole) == 21 and {c for _, c in whole} <= {u for u, _ in whole} and all(c == min(u for u, d in whole if d == c) for _, c in whole)
+    monkeypatch.setattr(community, "PART", 3)
+    assert of() == whole
+    kept = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    assert not list(kept.glob("stored-*"))  # what was written on the way is gone
+
+
 # -- query logs --------------------------------------------------------------------------------------
 
 
