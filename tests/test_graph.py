@@ -4,6 +4,7 @@ import itertools
 import random
 from collections import Counter
 from difflib import SequenceMatcher
+from hashlib import md5
 from pathlib import Path
 
 import pytest
@@ -346,6 +347,24 @@ def test_training_data(spark):
         dataset.triplets_from_pairs(alone.limit(1))
 
 
+def test_negatives_of_a_large_language_are_no_single_task(spark):
+    rows = [(f"u{i}", "many" if i < 600 else "few" if i < 602 else None if i < 605 else "one", f"code {i}") for i in range(606)]
+    view = spark.createDataFrame(rows, "uri string, language string, code string").withColumns({"name": F.lit("n"), "kind": F.lit("k"), "file_path": F.lit("f"), "version": F.lit("v")})
+    pairs = dataset.pairs(view.where("language is not null"), 1).select("query", "answer")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for got, seeded in ((dataset.triplets(view), lambda r: r["uri"]), (dataset.triplets_from_pairs(pairs), lambda r: f"{r['anchor']}/{r['positive']}")):
+            held = got.withColumn("task", F.spark_partition_id()).collect()
+            assert max(Counter(r["task"] for r in held).values()) < 400
+            many = sorted((r for r in held if "for many /" in (r["positive"] or "")), key=lambda r: md5(f"13/{seeded(r)}".encode()).hexdigest())
+            assert len(many) == 600 and [r["negative"] for r in many] == [r["positive"] for r in many[1:] + many[:1]]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    few = [r for r in dataset.triplets(view).collect() if "for few /" in (r["positive"] or "")]
+    assert len(few) == 2 and few[0]["negative"] == few[1]["positive"] and few[1]["negative"] == few[0]["positive"]
+    assert [r["negative"] for r in dataset.triplets_from_pairs(pairs).collect() if "for one /" in r["positive"]] != [None]
+
+
 def test_command_line(spark, tmp_path, capsys):
     from weftgraph import cli
 

@@ -58,33 +58,48 @@ def pairs(blocks: DataFrame, per_block: int = 3, seed: int = 13) -> DataFrame:
     return out.withColumn("order", drawn(seed, F.col("uri"))).select("uri", "n", "query", "answer", "order")
 
 
-def _other(rows: DataFrame, group: str, key: str, value: str, seed: int) -> DataFrame:
-    """For each row another row of its group: the next on a ring in drawn order, the first after the last.
+#: Hexadecimal digits of a draw that part a group's ring: 256 arcs, as even as the draws are.
+DIGITS = 2
 
-    One window instead of the square of a group. Groups of one have none.
+
+def _other(rows: DataFrame, group: str, order: list[str], value: str) -> DataFrame:
+    """For each row, with its `draw`, another row of its group: the next on a ring by draw and `order`, the first after the last.
+
+    No square of a group, and no group in one task: the ring is cut into arcs by the draw's first
+    digits, and the last row of an arc goes on with the first of the next, of which there is one
+    row for each arc. Groups of one have no other; `others` tells how many there are.
     """
-    ring = Window.partitionBy(group).orderBy(drawn(seed, F.col(key)), key)
+    arc = ["__group", "__arc"]
+    rows = rows.withColumns({"__group": F.coalesce(F.concat(F.lit("="), group), F.lit("")), "__arc": F.left("draw", F.lit(DIGITS))})
+    heads = rows.groupBy(*arc).agg(F.min(F.struct("draw", *order, F.col(value).alias("__value"))).alias("head"), F.count("*").alias("n"))
+    ring = Window.partitionBy("__group").orderBy("__arc")  # at most 16 ** DIGITS rows of a group
     back = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return rows.withColumn("negative", F.coalesce(F.lead(value).over(ring), F.first(value).over(back))).withColumn("others", F.count("*").over(Window.partitionBy(group)) - 1)
+    first = F.col("head.__value")
+    heads = heads.select(*arc, F.lead(first).over(ring).alias("__after"), F.first(first).over(back).alias("__first"), (F.sum("n").over(back) - 1).alias("others"))
+    within = F.lead(F.struct(value)).over(Window.partitionBy(*arc).orderBy("draw", *order))
+    # dealt out as the rows are, or these would be dealt out by group to meet them
+    out = rows.withColumn("__next", within).join(heads.repartition(*arc), arc)
+    following = F.when(F.col("__next").isNull(), F.col("__after")).otherwise(F.col("__next")[value])
+    return out.withColumn("negative", F.coalesce(following, "__first")).drop(*arc, "__next", "__after", "__first", "draw")
 
 
 def triplets(blocks: DataFrame, seed: int = 13) -> DataFrame:
     """(uri, anchor, positive, negative): the negative is another block of the language; languages with one block have none."""
-    rows = blocks.select("uri", "language", F.get(questions(1), F.lit(0)).alias("anchor"), answer().alias("positive"))
-    return _other(rows, "language", "uri", "positive", seed).where("others > 0").select("uri", "anchor", "positive", "negative")
+    rows = blocks.select("uri", "language", F.get(questions(1), F.lit(0)).alias("anchor"), answer().alias("positive"), drawn(seed, F.col("uri")).alias("draw"))
+    return _other(rows, "language", ["uri"], "positive").where("others > 0").select("uri", "anchor", "positive", "negative")
 
 
 def triplets_from_pairs(pairs: DataFrame, seed: int = 13) -> DataFrame:
     """(anchor, positive, negative) from (query, answer): an answer of the same language, of any other if it is alone."""
     if pairs.limit(2).count() < 2:
         raise ValueError("triplets need at least two pairs")
-    rows = pairs.select("query", "answer", answer_language(F.col("answer")).alias("language"), F.concat_ws("/", "query", "answer").alias("key"))
-    same = _other(rows, "language", "key", "answer", seed)
-    lone = same.where("others = 0").drop("negative", "others")
+    draw = drawn(seed, F.concat_ws("/", "query", "answer"))
+    rows = pairs.select("query", "answer", answer_language(F.col("answer")).alias("language"), draw.alias("draw"))
+    same = _other(rows, "language", ["query", "answer"], "answer")
     # of the answers of other languages the least by draw; a lone row's own language has no other
-    least = rows.groupBy("language").agg(F.min(F.struct(drawn(seed, F.col("key")).alias("d"), "answer")).alias("best"))
+    least = rows.groupBy("language").agg(F.min(F.struct(F.col("draw").alias("d"), "answer")).alias("best"))
     ends = F.sort_array(F.collect_list(F.struct("best", "language")))
     two = least.agg(F.slice(ends, 1, 2).alias("two"))  # one row
-    alone = lone.crossJoin(F.broadcast(two)).withColumn("negative", F.get(F.filter("two", lambda x: x["language"] != F.col("language")), F.lit(0))["best"]["answer"])
-    out = same.where("others > 0").select("query", "answer", "negative").unionByName(alone.select("query", "answer", "negative"))
-    return out.toDF("anchor", "positive", "negative")
+    alone = F.get(F.filter("two", lambda x: x["language"] != F.col("language")), F.lit(0))["best"]["answer"]
+    out = same.crossJoin(F.broadcast(two)).withColumn("negative", F.when(F.col("others") > 0, F.col("negative")).otherwise(alone))
+    return out.select(F.col("query").alias("anchor"), F.col("answer").alias("positive"), "negative")
