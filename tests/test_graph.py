@@ -15,6 +15,7 @@ from weftgraph.functions import scoring, text
 from weftgraph.operators import blocks, cluster, community, cooccur, dataset, enrich, extract, triples
 from weftgraph.plans import beam, ranking, walk
 from weftgraph.plans.service import Service
+from weftgraph.queries import queries
 from weftgraph.sources import turtle
 
 KG = vocab.KG
@@ -365,6 +366,14 @@ def test_negatives_of_a_large_language_are_no_single_task(spark):
     assert [r["negative"] for r in dataset.triplets_from_pairs(pairs).collect() if "for one /" in r["positive"]] != [None]
 
 
+def test_documents_that_share_an_id_are_all_blocks(spark, tmp_path):
+    rows = [(1, "one", "en", "a"), (1, "two", "en", "a"), (1, "two", "en", "a"), (1, "one", "fr", "a"), (2, "three", "en", "a")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries()["block_view_from_graph"](spark, str(tmp_path)).select("file_path", "language", "version", "code").collect()
+    assert Counter(map(tuple, got)) == Counter((f"doc/{i}", lang, f"{lang} {source}", text_) for i, text_, lang, source in rows)
+    assert queries()["graph_statistics"](spark, str(tmp_path)).first()["n_blocks"] == 5
+
+
 def test_command_line(spark, tmp_path, capsys):
     from weftgraph import cli
 
